@@ -1,7 +1,351 @@
-"""Model-based queries (rows-only checks): LDA, k-means, c-means, NMF, network, reports."""
+"""Model pipeline (entries A and C) and the model-based queries (rows-only checks).
+
+Entry A: posts -> five features (LDA topic weights) -> abs -> standardise -> optional NMF ->
+k-means and/or fuzzy c-means -> training labels -> ordered split -> network -> holdout metrics.
+Entry C: score another capture set with the fitted bundle (scaler, basis, centres, network).
+
+The feature table is checkpointed once (reliable checkpoint in the cluster's checkpoint folder):
+every iterative fit then scans a short, recomputation-safe lineage.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postcred.operators import classify as MC
+from postcred.operators import cluster as CL
+from postcred.operators import evaluate as EV
+from postcred.operators import features as FE
+from postcred.operators import topics as TP
+from postcred.operators.factorize import NmfModel, nmf_apply, nmf_fit
+from postcred.plans import fixtures as FX
+from postcred.plans import pipeline as P
+from postcred.schemas import FEATURES, KEY
+from postcred.session import checkpoint_dir, scratch_dir
+from postcred.sources.captures import (dedup_posts, filter_originals, project_original, read_captures)
+from postcred.sources.adapter import write_capture_folder
+from postcred.sources.tables import write_report
+
+K = list(KEY)
+
+
+# ------------------------------------------------------------------ topic weights from a fitted LDA
+def lda_word_weights(spark: SparkSession, cv_model, lda_model, doc_topics: DataFrame, mode: str = "marginal",
+                     key=KEY) -> DataFrame:
+    """F7 on a fitted model.  The topic matrix already lives on the driver (online LDA keeps it
+    there); it is k x vocab, bounded by the vectoriser's ``vocabSize``."""
+    vocab = cv_model.vocabulary
+    if mode == "positional":
+        return TP.topic_word_weights(doc_topics, vocabulary=TP.model_vocabulary(cv_model, spark),
+                                     mode="positional", key=key)
+    mean_theta = {r["topic_id"]: r["m"] for r in
+                  doc_topics.groupBy("topic_id").agg(F.avg("prob").alias("m")).collect()}  # k rows
+    tm = lda_model.topicsMatrix().toArray()           # vocab x k
+    phi = tm / np.maximum(tm.sum(axis=0, keepdims=True), 1e-300)
+    theta = np.array([mean_theta.get(t, 0.0) for t in range(tm.shape[1])])
+    w = phi @ theta
+    return spark.createDataFrame([(t, float(x)) for t, x in zip(vocab, w)], "term string, weight double")
+
+
+@dataclass
+class TopicArtifacts:
+    cv_model: object
+    lda_model: object
+    doc_topics: DataFrame
+    weights: DataFrame
+
+
+def fit_topic_weights(spark, posts: DataFrame, cfg: P.PipelineConfig) -> tuple[DataFrame, TopicArtifacts]:
+    """F5 -> F6 -> F7 -> F8: ``(key, topic_weight)`` for every post."""
+    ltok = P.stored_tokens(posts, cfg.stopwords)
+    cv_model, lda_model = TP.fit_topics(ltok, "ltokens", k=cfg.topics, passes=cfg.lda_passes,
+                                        chunk_size=cfg.lda_chunk, seed=cfg.seed)
+    dt = TP.topic_distribution(cv_model, lda_model, ltok, "ltokens")
+    weights = lda_word_weights(spark, cv_model, lda_model, dt, cfg.topic_weight_mode)
+    tw = TP.topic_doc_weight(ltok, weights, tokens="ltokens")
+    return tw, TopicArtifacts(cv_model, lda_model, dt, weights)
+
+
+def model_features(spark, posts: DataFrame, sentiment_lex: DataFrame, cfg: P.PipelineConfig):
+    """F9 with LDA topic weights, checkpointed (the input of every fit below)."""
+    tw, art = fit_topic_weights(spark, posts, cfg)
+    checkpoint_dir(spark)
+    five = P.five_feature_frame(posts, sentiment_lex, art.weights, cfg.stopwords)
+    return five.checkpoint(eager=True), art
+
+
+@dataclass
+class ModelBundle:
+    """Everything needed to score new posts the way the training posts were scored."""
+    cfg: P.PipelineConfig
+    stats: FE.StandardStats
+    nmf: NmfModel | None
+    kmeans_centers: list | None
+    fuzzy_centers: list | None
+    net: object
+    weights: DataFrame
+
+
+def cluster_features(df: DataFrame, bundle_stats: FE.StandardStats, nmf: NmfModel | None) -> DataFrame:
+    """abs -> standardise (fitted stats) -> optional NMF coordinates -> standardise -> abs."""
+    z = FE.standardize_apply(FE.abs_features(df), bundle_stats)
+    if nmf is None:
+        return z
+    coords = nmf_apply(FE.abs_features(df), nmf)
+    return FE.abs_features(FE.standardize_apply(coords, bundle_stats))
+
+
+def label_posts(df: DataFrame, cfg: P.PipelineConfig, kmeans_centers, fuzzy_centers) -> DataFrame:
+    """C2 / C4 / C5 with fitted centres, then C7."""
+    out = df
+    if fuzzy_centers is not None:
+        out = CL.membership_max(CL.fuzzy_memberships(out, fuzzy_centers))
+    else:
+        out = out.withColumn("memberships", F.lit(None).cast("array<double>")) \
+            .withColumn("max_membership", F.lit(None).cast("double")).withColumn("fuzzy_label", F.lit(None).cast("int"))
+    if kmeans_centers is not None:
+        out = CL.kmeans_assign(out, kmeans_centers)
+    else:
+        out = out.withColumn("kmeans_label", F.lit(None).cast("int"))
+    return CL.training_labels(out, cfg.algorithm)
+
+
+def _wants_fuzzy(cfg) -> bool:
+    a = cfg.algorithm.lower()
+    return "cmeans" in a or "c-means" in a or "fuzzy" in a
+
+
+def fit_model(spark, five: DataFrame, cfg: P.PipelineConfig, weights: DataFrame | None = None):
+    """Entry A after F9: scaling, optional NMF, clustering, labels, split, network, holdout."""
+    stats = FE.standardize_fit(FE.abs_features(five))
+    nmf = nmf_fit(FE.abs_features(five), seed=0, max_iter=50) if cfg.use_nmf else None
+    feats = cluster_features(five, stats, nmf).checkpoint(eager=True)
+    fuzzy = _wants_fuzzy(cfg)
+    km_centers = fz_centers = None
+    if not fuzzy or cfg.compare_both:
+        _, km_centers = CL.kmeans_fit(feats, cfg.k, seed=cfg.seed)
+    if fuzzy or cfg.compare_both:
+        fz_centers = CL.fuzzy_cmeans_fit(feats, cfg.k, error=cfg.cmeans_error, max_iter=cfg.cmeans_max_iter,
+                                         seed=cfg.seed).centers
+    labelled = label_posts(feats, cfg, km_centers, fz_centers)
+    split = MC.ordered_split(labelled, cfg.test_share)
+    train = split.where(F.col("split") == "train")
+    test = split.where(F.col("split") == "test")
+    if cfg.fit_mode == "full":
+        net = MC.mlp_fit(train, cfg.k, max_iter=cfg.mlp_max_iter, seed=cfg.seed)
+    else:
+        net = MC.mlp_fit_incremental(_slices(train, 4), cfg.k, seed=cfg.seed)
+    pred = MC.mlp_predict(net, test)
+    bundle = ModelBundle(cfg, stats, nmf, km_centers, fz_centers, net, weights)
+    return bundle, labelled, pred
+
+
+def _slices(df: DataFrame, n: int):
+    """Contiguous slices of the ordered training rows (by their dense index) for warm starts."""
+    total = df.count()
+    step = max(1, -(-total // n))
+    lo = df.agg(F.min("row_index")).first()[0] or 0
+    for i in range(n):
+        part = df.where((F.col("row_index") >= lo + i * step) & (F.col("row_index") < lo + (i + 1) * step))
+        yield part
+
+
+def holdout_report(five: DataFrame, pred: DataFrame) -> DataFrame:
+    """R2: raw features of the test rows with label, prediction and agreement flag."""
+    return (five.join(pred.select(*K, "label", "predicted"), K)
+            .withColumn("is_equal", F.col("label") == F.col("predicted")))
+
+
+def model_report(posts: DataFrame, five: DataFrame, labelled: DataFrame, otc: DataFrame | None = None) -> DataFrame:
+    """Post fields, raw features, both labels, memberships and normalised features."""
+    norm = labelled.select(*K, *[F.col(c).alias(f"norm_{c}") for c in FEATURES], "kmeans_label",
+                           "memberships", "max_membership", "fuzzy_label")
+    out = posts.select(*K, "followers_count", "retweet_count", "text").join(five, K).join(norm, K)
+    if otc is not None:
+        out = out.join(otc.select(*K, "otc_score"), K, "left")
+    return out
+
+
+def score_external(spark, bundle: ModelBundle, posts: DataFrame, sentiment_lex: DataFrame) -> DataFrame:
+    """Entry C / E5: features of other posts with the *fitted* topic weights, scaler, basis,
+    centres and network; predicted label next to the clustering label."""
+    five = P.five_feature_frame(posts, sentiment_lex, bundle.weights, bundle.cfg.stopwords)
+    feats = cluster_features(five, bundle.stats, bundle.nmf)
+    labelled = label_posts(feats, bundle.cfg, bundle.kmeans_centers, bundle.fuzzy_centers)
+    pred = MC.mlp_predict(bundle.net, labelled)
+    return five.join(pred.select(*K, "label", "predicted"), K)
+
+
+# ------------------------------------------------------------------ registered model queries
+SMALL = P.PipelineConfig(k=3, algorithm="kmeans", compare_both=True, topics=10, mlp_max_iter=100,
+                         cmeans_max_iter=100)
+
+
+def _posts_and_lex(spark, sf):
+    posts = P.posts_from_tables(spark, sf)
+    sent, subj, cats = P.fixture_lexicons(posts)
+    return posts, sent, subj, cats
+
+
+def q_fit_topics(spark, sf):
+    posts = P.posts_from_tables(spark, sf)
+    ltok = P.stored_tokens(posts)
+    cv, lda = TP.fit_topics(ltok, "ltokens", k=SMALL.topics, seed=SMALL.seed)
+    desc = lda.describeTopics(10)
+    vocab = TP.model_vocabulary(cv, spark)
+    rows = desc.select(F.col("topic").alias("topic_id"),
+                       F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "tw"))
+    return rows.select("topic_id", "rank", F.col("tw.termIndices").alias("term_index"),
+                       F.col("tw.termWeights").alias("weight")).join(F.broadcast(vocab), "term_index")
+
+
+def q_topic_distribution(spark, sf):
+    posts = P.posts_from_tables(spark, sf)
+    ltok = P.stored_tokens(posts)
+    cv, lda = TP.fit_topics(ltok, "ltokens", k=SMALL.topics, seed=SMALL.seed)
+    return TP.topic_distribution(cv, lda, ltok, "ltokens")
+
+
+def q_topic_weights_positional(spark, sf):
+    posts = P.posts_from_tables(spark, sf)
+    ltok = P.stored_tokens(posts)
+    cv, lda = TP.fit_topics(ltok, "ltokens", k=SMALL.topics, seed=SMALL.seed)
+    dt = TP.topic_distribution(cv, lda, ltok, "ltokens")
+    return lda_word_weights(spark, cv, lda, dt, mode="positional")
+
+
+def q_lda_five_features(spark, sf):
+    posts, sent, _, _ = _posts_and_lex(spark, sf)
+    five, _ = model_features(spark, posts, sent, SMALL)
+    return five
+
+
+def _fixture_feats(spark, sf):
+    five = P.fixture_five_features(spark, sf).checkpoint(eager=True)
+    stats = FE.standardize_fit(FE.abs_features(five))
+    return five, FE.standardize_apply(FE.abs_features(five), stats).checkpoint(eager=True)
+
+
+def q_kmeans_fit(spark, sf):
+    _, z = _fixture_feats(spark, sf)
+    _, centers = CL.kmeans_fit(z, SMALL.k, seed=SMALL.seed)
+    return CL.kmeans_assign(z, centers).select(*K, "kmeans_label")
+
+
+def q_fuzzy_cmeans_fit(spark, sf):
+    _, z = _fixture_feats(spark, sf)
+    res = CL.fuzzy_cmeans_fit(z, SMALL.k, max_iter=SMALL.cmeans_max_iter, seed=SMALL.seed)
+    m = CL.membership_max(CL.fuzzy_memberships(z, res.centers))
+    return m.select(*K, *[F.get("memberships", j).alias(f"u{j}") for j in range(SMALL.k)],
+                    "max_membership", "fuzzy_label")
+
+
+def q_nmf_fit(spark, sf):
+    five, _ = _fixture_feats(spark, sf)
+    a = FE.abs_features(five)
+    model = nmf_fit(a, max_iter=30)
+    return nmf_apply(a, model, [f"h{j}" for j in range(5)])
+
+
+def q_nmf_basis(spark, sf):
+    five, _ = _fixture_feats(spark, sf)
+    model = nmf_fit(FE.abs_features(five), max_iter=30)
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(model.basis)],
+                                 "component int, " + ", ".join(f"{c} double" for c in FEATURES))
+
+
+def q_save_load_model(spark, sf):
+    _, z = _fixture_feats(spark, sf)
+    model, centers = CL.kmeans_fit(z, SMALL.k, seed=SMALL.seed)
+    path = scratch_dir(spark, "kmeans-model")
+    CL.save_kmeans(model, path)
+    _, loaded = CL.load_kmeans(path)
+    return CL.kmeans_assign(z, loaded).select(*K, "kmeans_label")
+
+
+def _fixture_fit(spark, sf, cfg=SMALL):
+    five, _ = _fixture_feats(spark, sf)
+    return five, fit_model(spark, five, cfg)
+
+
+def q_mlp_predict(spark, sf):
+    _, (_, _, pred) = _fixture_fit(spark, sf)
+    return EV.prediction_match(pred.select(*K, "label", "predicted"))
+
+
+def q_mlp_fit_incremental(spark, sf):
+    cfg = P.PipelineConfig(k=3, algorithm="kmeans", fit_mode="incremental", mlp_max_iter=20)
+    _, (_, _, pred) = _fixture_fit(spark, sf, cfg)
+    return EV.prediction_match(pred.select(*K, "label", "predicted"))
+
+
+def q_holdout_report(spark, sf):
+    five, (_, _, pred) = _fixture_fit(spark, sf)
+    return holdout_report(five, pred)
+
+
+def q_holdout_metrics(spark, sf):
+    _, (_, _, pred) = _fixture_fit(spark, sf)
+    return EV.classification_report(pred)
+
+
+def q_model_report(spark, sf):
+    posts, sent, subj, cats = _posts_and_lex(spark, sf)
+    cfg = P.PipelineConfig(k=3, algorithm="fuzzy c-means", compare_both=True, topics=10,
+                           mlp_max_iter=100, cmeans_max_iter=100)
+    five, art = model_features(spark, posts, sent, cfg)
+    bundle, labelled, _ = fit_model(spark, five, cfg, art.weights)
+    otc = P.otc_frame(posts, subj, cats)
+    rep = model_report(posts, five, labelled, otc)
+    path = write_report(rep, scratch_dir(spark, "model-report"))
+    return spark.read.option("sep", "\t").option("header", "true").csv(path)
+
+
+def q_nmf_model(spark, sf):
+    cfg = P.PipelineConfig(k=3, algorithm="kmeans", use_nmf=True, mlp_max_iter=100)
+    _, (_, labelled, _) = _fixture_fit(spark, sf, cfg)
+    return labelled.select(*K, *FEATURES, "kmeans_label", "label")
+
+
+def q_external_agreement(spark, sf):
+    """Fit on the first capture folder, score the later capture of the same posts."""
+    root = write_capture_folder(spark, sf)
+    first = dedup_posts(project_original(filter_originals(read_captures(spark, f"{root}/FlumeData-1"))))
+    later = dedup_posts(project_original(filter_originals(read_captures(spark, f"{root}/FlumeData-2"))))
+    sent, _, _ = P.fixture_lexicons(first)
+    cfg = P.PipelineConfig(k=3, algorithm="kmeans", topics=10, mlp_max_iter=100)
+    five, art = model_features(spark, first, sent, cfg)
+    bundle, _, _ = fit_model(spark, five, cfg, art.weights)
+    scored = score_external(spark, bundle, later, sent)
+    return scored
+
+
+def q_external_accuracy(spark, sf):
+    return EV.accuracy(q_external_agreement(spark, sf))
+
 
 def model_queries():
-    return {}
+    return {
+        "fit_topics": q_fit_topics,
+        "topic_distribution": q_topic_distribution,
+        "topic_weights_positional": q_topic_weights_positional,
+        "lda_five_features": q_lda_five_features,
+        "kmeans_fit": q_kmeans_fit,
+        "fuzzy_cmeans_fit": q_fuzzy_cmeans_fit,
+        "nmf_fit": q_nmf_fit,
+        "nmf_basis": q_nmf_basis,
+        "nmf_model": q_nmf_model,
+        "save_load_model": q_save_load_model,
+        "mlp_predict": q_mlp_predict,
+        "mlp_fit_incremental": q_mlp_fit_incremental,
+        "holdout_report": q_holdout_report,
+        "holdout_metrics": q_holdout_metrics,
+        "model_report": q_model_report,
+        "external_report": q_external_agreement,
+        "external_agreement": q_external_accuracy,
+    }
