@@ -3,9 +3,9 @@
 The per-row libraries of the reference (valence list, subjectivity list, category lists) are
 re-expressed as tables: posts are exploded to words, joined to the lexicon (broadcast when its
 size is checked to be small) and aggregated back per post.  Only lexicon *hits* travel past the
-join.  The aggregations group by the post key; when the input is the deduplicated ``posts`` frame
-that grouping is already satisfied by its partitioning, so no exchange is added, and the final
-left join back to all posts (posts without hits score 0) is co-partitioned as well.
+join, plus one marker row per post so that posts without any hit still get a (zero) score
+without a join back.  The aggregations group by the post key; when the input is the deduplicated
+``posts`` frame that grouping is already satisfied by its partitioning, so no exchange is added.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from postcred.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, checked_broadca
 from postcred.schemas import KEY
 
 
-def _back_to_posts(posts: DataFrame, scores: DataFrame, key: Sequence[str], fill: dict) -> DataFrame:
-    out = posts.select(*key).join(scores, list(key), "left")
-    return out.fillna(fill)
+def _is_marker(pos_col: str) -> F.Column:
+    """The first (or the only, NULL) exploded row of a post: kept even without a lexicon hit so
+    every post reaches the aggregation and no join back to the posts is needed."""
+    return F.col(pos_col).isNull() | (F.col(pos_col) == 0)
 
 
 def lexicon_sentiment(posts: DataFrame, lexicon: DataFrame, text_col: str = "text",
@@ -36,24 +37,26 @@ def lexicon_sentiment(posts: DataFrame, lexicon: DataFrame, text_col: str = "tex
     ``positive`` sums the positive token scores, ``negative`` the negative ones; ``neutral`` is
     always 0, as in the reference (quirk Q4).  ``lexicon``: ``(term, score, kind)``.
     """
-    toks = posts.select(*key, F.posexplode(split_ws(text_col)).alias("pos", "tok"))
-    words = toks.select(*key, "pos", F.explode(lexicon_words("tok")).alias("term"))
+    toks = posts.select(*key, F.posexplode_outer(split_ws(text_col)).alias("pos", "tok"))
+    words = toks.select(*key, "pos", "tok", F.posexplode_outer(lexicon_words("tok")).alias("wpos", "term"))
     word_lex = checked_broadcast(
         lexicon.where(F.col("kind") == "word").select("term", F.col("score").cast("long").alias("score")),
         max_broadcast_rows)
     emo_lex = checked_broadcast(
         lexicon.where(F.col("kind") == "emoticon").select(F.col("term").alias("tok"),
-                                                          F.col("score").cast("long").alias("score")),
+                                                          F.col("score").cast("long").alias("escore")),
         max_broadcast_rows)
-    hits = words.join(word_lex, "term").select(*key, "pos", "score").unionByName(
-        toks.join(emo_lex, "tok").select(*key, "pos", "score"))
+    j = words.join(word_lex, "term", "left").join(emo_lex, "tok", "left")
+    first_word = _is_marker("wpos")
+    score = F.coalesce(F.col("score"), F.lit(0)) + F.when(first_word, F.coalesce(F.col("escore"), F.lit(0))).otherwise(0)
+    hits = j.select(*key, "pos", score.alias("score"), (_is_marker("pos") & first_word).alias("_marker"))
+    hits = hits.where((F.col("score") != 0) | F.col("_marker"))
     per_token = hits.groupBy(*key, "pos").agg(F.sum("score").alias("s"))
     per_post = per_token.groupBy(*key).agg(
         F.sum(F.greatest(F.col("s"), F.lit(0))).alias("positive"),
         F.sum(F.least(F.col("s"), F.lit(0))).alias("negative"),
     )
-    out = _back_to_posts(posts, per_post, key, {"positive": 0, "negative": 0})
-    return out.withColumn("neutral", F.lit(0).cast("long"))
+    return per_post.select(*key, "positive", "negative", F.lit(0).cast("long").alias("neutral"))
 
 
 def lexicon_subjectivity(posts: DataFrame, lexicon: DataFrame, text_col: str = "text_stripped",
@@ -63,10 +66,11 @@ def lexicon_subjectivity(posts: DataFrame, lexicon: DataFrame, text_col: str = "
 
     ``lexicon``: ``(term, subjectivity)`` with values in [0, 1].
     """
-    words = posts.select(*key, F.explode(lexicon_words(text_col)).alias("term"))
+    words = posts.select(*key, F.posexplode_outer(lexicon_words(text_col)).alias("pos", "term"))
     lex = checked_broadcast(lexicon.select("term", F.col("subjectivity").cast("double")), max_broadcast_rows)
-    per_post = words.join(lex, "term").groupBy(*key).agg(F.avg("subjectivity").alias("subjectivity"))
-    return _back_to_posts(posts, per_post, key, {"subjectivity": 0.0})
+    hits = words.join(lex, "term", "left").where(F.col("subjectivity").isNotNull() | _is_marker("pos"))
+    per_post = hits.groupBy(*key).agg(F.avg("subjectivity").alias("subjectivity"))
+    return per_post.fillna({"subjectivity": 0.0})
 
 
 def category_rates(posts: DataFrame, lexicon: DataFrame, text_col: str = "text_stripped",
@@ -79,15 +83,13 @@ def category_rates(posts: DataFrame, lexicon: DataFrame, text_col: str = "text_s
     """
     cats = list(categories)
     w = posts.select(*key, lexicon_words(text_col).alias("_w"))
-    words = w.select(*key, F.size("_w").alias("n_words"), F.explode("_w").alias("term"))
+    words = w.select(*key, F.size("_w").alias("n_words"), F.posexplode_outer("_w").alias("pos", "term"))
     lex = checked_broadcast(lexicon.where(F.col("category").isin(cats)).select("category", "term"),
                             max_broadcast_rows)
-    counts = (
-        words.join(lex, "term")
-        .groupBy(*key, "n_words").pivot("category", cats).agg(F.count(F.lit(1)))
-    )
-    rates = counts.select(*key, *[(F.coalesce(F.col(c), F.lit(0)) / F.col("n_words")).alias(c) for c in cats])
-    return _back_to_posts(posts, rates, key, {c: 0.0 for c in cats})
+    hits = words.join(lex, "term", "left").where(F.col("category").isNotNull() | _is_marker("pos"))
+    counts = hits.groupBy(*key, "n_words").pivot("category", cats).agg(F.count(F.lit(1)))
+    rate = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n_words")), F.lit(0.0))
+    return counts.select(*key, *[rate(c).alias(c) for c in cats])
 
 
 def with_deception_index(rates: DataFrame, out: str = "deception_index") -> DataFrame:

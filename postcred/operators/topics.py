@@ -107,6 +107,6 @@ def topic_doc_weight(tokens_df: DataFrame, weights: DataFrame, tokens: str = "to
     by the vocabulary size and is broadcast after a size check.
     """
     w = checked_broadcast(weights.select("term", F.col("weight").cast("double")), max_broadcast_rows)
-    hits = tokens_df.select(*key, F.explode(tokens).alias("term")).join(w, "term")
-    per_post = hits.groupBy(*key).agg(F.sum("weight").alias(out))
-    return tokens_df.select(*key).join(per_post, list(key), "left").fillna({out: 0.0})
+    toks = tokens_df.select(*key, F.posexplode_outer(tokens).alias("pos", "term"))
+    hits = toks.join(w, "term", "left").where(F.col("weight").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0))
+    return hits.groupBy(*key).agg(F.sum("weight").alias(out)).fillna({out: 0.0})

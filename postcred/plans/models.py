@@ -124,7 +124,8 @@ def fit_model(spark, five: DataFrame, cfg: P.PipelineConfig, weights: DataFrame
     """Entry A after F9: scaling, optional NMF, clustering, labels, split, network, holdout."""
     stats = FE.standardize_fit(FE.abs_features(five))
     nmf = nmf_fit(FE.abs_features(five), seed=0, max_iter=50) if cfg.use_nmf else None
-    feats = cluster_features(five, stats, nmf).checkpoint(eager=True)
+    # checkpoint cuts the lineage (safe against executor loss); cache serves the fit iterations
+    feats = cluster_features(five, stats, nmf).checkpoint(eager=True).persist()
     fuzzy = _wants_fuzzy(cfg)
     km_centers = fz_centers = None
     if not fuzzy or cfg.compare_both:
@@ -165,7 +166,9 @@ def model_report(posts: DataFrame, five: DataFrame, labelled: DataFrame, otc: Da
     """Post fields, raw features, both labels, memberships and normalised features."""
     norm = labelled.select(*K, *[F.col(c).alias(f"norm_{c}") for c in FEATURES], "kmeans_label",
                            "memberships", "max_membership", "fuzzy_label")
-    out = posts.select(*K, "followers_count", "retweet_count", "text").join(five, K).join(norm, K)
+    stored = posts.select(*K, "followers_count", "retweet_count",
+                          F.replace(F.col("text"), F.lit("\n"), F.lit("")).alias("text"))
+    out = stored.join(five, K).join(norm, K)
     if otc is not None:
         out = out.join(otc.select(*K, "otc_score"), K, "left")
     return out
@@ -228,7 +231,7 @@ def q_lda_five_features(spark, sf):
 def _fixture_feats(spark, sf):
     five = P.fixture_five_features(spark, sf).checkpoint(eager=True)
     stats = FE.standardize_fit(FE.abs_features(five))
-    return five, FE.standardize_apply(FE.abs_features(five), stats).checkpoint(eager=True)
+    return five, FE.standardize_apply(FE.abs_features(five), stats).checkpoint(eager=True).persist()
 
 
 def q_kmeans_fit(spark, sf):
@@ -303,7 +306,7 @@ def q_model_report(spark, sf):
     otc = P.otc_frame(posts, subj, cats)
     rep = model_report(posts, five, labelled, otc)
     path = write_report(rep, scratch_dir(spark, "model-report"))
-    return spark.read.option("sep", "\t").option("header", "true").csv(path)
+    return spark.read.option("sep", "\t").option("header", "true").option("multiLine", "true").csv(path)
 
 
 def q_nmf_model(spark, sf):
