@@ -33,11 +33,10 @@ def main():
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
 
-    posts = P.posts_from_tables(spark, sf_dir)
-    sent, subj, cats = P.fixture_lexicons(posts)
+    landed = {}
 
     def q_ingest():
-        run(posts)
+        landed["posts"] = P.land(P.posts_from_tables(spark, sf_dir))
 
     def q_text_stats():
         d = TX.with_text_stats(TX.with_tokens(P.with_reach(posts)), pmi=None)
@@ -54,7 +53,10 @@ def main():
             .join(category_rates(ct, cats), ["screen_name", "created_at"], "left"))
 
     def q_five_features():
-        run(P.fixture_five_features(spark, sf_dir))
+        ltok = P.stored_tokens(posts)
+        dt, tt = P.fixture_topic_tables(posts, ltok)
+        from postcred.operators.topics import topic_word_weights
+        run(P.five_feature_frame(posts, sent, topic_word_weights(dt, tt, mode="marginal")))
 
     def q_otc():
         run(P.otc_frame(posts, subj, cats))
@@ -68,7 +70,6 @@ def main():
         run(pred)
 
     queries = {
-        "ingest_dedup": q_ingest,
         "text_stats": q_text_stats,
         "token_counts": q_token_counts,
         "lexicon_scores": q_lexicons,
@@ -80,6 +81,14 @@ def main():
 
     run(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.length("text")))  # warm the scan / JIT
     times = {}
+    t0 = time.time()
+    q_ingest()
+    times["ingest_dedup"] = round(time.time() - t0, 3)
+    posts = landed["posts"]
+    t0 = time.time()
+    sent, subj, cats = [d.cache() for d in P.fixture_lexicons(posts)]
+    run(sent)
+    times["fixture_lexicons"] = round(time.time() - t0, 3)
     for name, fn in queries.items():
         t0 = time.time()
         fn()

@@ -31,6 +31,13 @@ ENGLISH_STOPWORDS = (
 WHITESPACE_CLASS = (
     r"[\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same whitespace characters as a plain string (for trim).
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+# The 32 ASCII punctuation characters of Python's string.punctuation.
+PUNCT_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # URL pattern of the reference's Find(); Python's \w is written out as letters, digits and '_'.
 URL_PATTERN = r"(?:(?:https?|ftp)://)?[\p{L}\p{N}_/\-?=%.]+\.[\p{L}\p{N}_/\-?=%.]+"
 # The 32 ASCII punctuation characters (Python's string.punctuation == POSIX punct).
@@ -51,7 +58,7 @@ def _col(c) -> Column:
 
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: trim every Unicode whitespace character on both ends."""
-    return F.regexp_replace(_col(c), rf"\A{WS_RUN}|{WS_RUN}\z", "")
+    return F.trim(_col(c), F.lit(WHITESPACE_CHARS))
 
 
 def split_ws(c) -> Column:
@@ -71,7 +78,7 @@ def clean_tokens(c, stopwords: Iterable[str] | None = None) -> Column:
     if sw:
         # More than 10 literals: the optimizer turns this IN into a hash-set lookup.
         toks = F.filter(toks, lambda t: ~F.lower(t).isin(sw))
-    toks = F.transform(toks, lambda t: F.regexp_replace(F.lower(t), PUNCT_PATTERN, ""))
+    toks = F.transform(toks, lambda t: F.translate(F.lower(t), PUNCT_CHARS, ""))
     toks = F.filter(
         toks,
         lambda t: (F.length(t) > 2)

@@ -39,21 +39,52 @@ def kmeans_assign(df: DataFrame, centers: Sequence[Sequence[float]], cols: Seque
         out, (F.array_position("_d2", F.array_min("_d2")) - 1).cast("int")).drop("_d2")
 
 
-def memberships_col(cols: Sequence[str], centers: Sequence[Sequence[float]], m: float = 2.0) -> Column:
-    """C4: ``array<double>`` of fuzzy memberships ``u_j = d_j^(-2/(m-1)) / Σ_k d_k^(-2/(m-1))``.
+def _inverse_distances(cols: Sequence[str], centers: Sequence[Sequence[float]], m: float) -> Column:
+    p = -2.0 / (m - 1.0)
+    return F.array(*[F.pow(F.greatest(F.sqrt(_dist2(cols, c)), F.lit(EPS)), F.lit(p)) for c in centers])
+
+
+def _num(v: float) -> str:
+    return f"CAST({float(v)!r} AS DOUBLE)"
 
-    Distances are floored at machine epsilon so a row sitting on a centre stays finite.
+
+def _inv_sql(cols: Sequence[str], centers: Sequence[Sequence[float]], m: float) -> str:
+    """SQL text of the array of inverse distance powers ``max(d_j, eps)^(-2/(m-1))``.
+
+    The loops below rebuild this expression every iteration; as one SQL string it costs a
+    single call into the JVM instead of hundreds of Column constructions.
     """
     p = -2.0 / (m - 1.0)
-    inv = [F.pow(F.greatest(F.sqrt(_dist2(cols, c)), F.lit(EPS)), F.lit(p)) for c in centers]
-    total = sum(inv[1:], inv[0])
-    return F.array(*[(v / total) for v in inv])
+    parts = []
+    for c in centers:
+        d2 = " + ".join(f"pow(`{x}` - {_num(v)}, 2)" for x, v in zip(cols, c))
+        parts.append(f"pow(greatest(sqrt({d2}), {_num(EPS)}), {_num(p)})")
+    return "array(" + ", ".join(parts) + ")"
+
+
+def _normalised_sql(arr: str, k: int) -> str:
+    total = " + ".join(f"get({arr}, {j})" for j in range(k))
+    return "array(" + ", ".join(f"get({arr}, {j}) / ({total})" for j in range(k)) + ")"
+
+
+def with_memberships(df: DataFrame, centers: Sequence[Sequence[float]], cols: Sequence[str] = FEATURES,
+                     m: float = 2.0, out: str = "memberships") -> DataFrame:
+    """C4: add ``array<double>`` fuzzy memberships ``u_j = d_j^(-2/(m-1)) / Σ_k d_k^(-2/(m-1))``.
+
+    Distances are floored at machine epsilon so a row sitting on a centre stays finite.  The
+    inverse distances are materialised as an array column first (one projection), so each
+    membership reads them instead of repeating all k distance expressions.
+    """
+    k = len(centers)
+    rest = [f"`{c}`" for c in df.columns]
+    d = df.selectExpr(*rest, f"{_inv_sql(cols, centers, m)} AS `{out}_inv`")
+    return d.selectExpr(*rest, f"{_normalised_sql(f'`{out}_inv`', k)} AS `{out}`")
 
 
 def fuzzy_memberships(df: DataFrame, centers: Sequence[Sequence[float]], cols: Sequence[str] = FEATURES,
                       m: float = 2.0, out: str = "memberships") -> DataFrame:
     """C4 as a DataFrame operator."""
-    return df.withColumn(out, memberships_col(cols, centers, m))
+    return with_memberships(df, centers, cols, m, out)
 
 
 def membership_max(df: DataFrame, memberships: str = "memberships", max_out: str = "max_membership",
@@ -72,20 +103,23 @@ class FuzzyResult:
     fpc: float
 
 
-def _init_memberships(key: Sequence[str], k: int, seed: int) -> Column:
+def _with_init_memberships(df: DataFrame, key: Sequence[str], k: int, seed: int, out: str) -> DataFrame:
     """Pseudo-random start memberships from a hash of the row key (repeatable, no driver data)."""
-    raw = [(F.xxhash64(*[F.col(c) for c in key], F.lit(seed), F.lit(j)).bitwiseAND(F.lit((1 << 53) - 1))
-            .cast("double") / float(1 << 53)) + F.lit(1e-12) for j in range(k)]
-    total = sum(raw[1:], raw[0])
-    return F.array(*[r / total for r in raw])
+    keys = ", ".join(f"`{c}`" for c in key)
+    raw = "array(" + ", ".join(
+        f"CAST(xxhash64({keys}, {int(seed)}, {j}) & {(1 << 53) - 1} AS DOUBLE) / {float(1 << 53)!r}D + 1e-12D"
+        for j in range(k)) + ")"
+    rest = [f"`{c}`" for c in df.columns]
+    d = df.selectExpr(*rest, f"{raw} AS `{out}_raw`")
+    return d.selectExpr(*rest, f"{_normalised_sql(f'`{out}_raw`', k)} AS `{out}`")
 
 
-def _center_sums(u: Column, cols: Sequence[str], k: int, m: float) -> list[Column]:
+def _center_sums(u: str, cols: Sequence[str], k: int, m: float) -> list[Column]:
     aggs = []
     for j in range(k):
-        w = F.pow(F.get(u, j), F.lit(m))
-        aggs.append(F.sum(w).alias(f"_den{j}"))
-        aggs += [F.sum(w * F.col(c)).alias(f"_num{j}_{i}") for i, c in enumerate(cols)]
+        w = f"pow(get(`{u}`, {j}), {_num(m)})"
+        aggs.append(F.expr(f"sum({w})").alias(f"_den{j}"))
+        aggs += [F.expr(f"sum({w} * `{c}`)").alias(f"_num{j}_{i}") for i, c in enumerate(cols)]
     return aggs
 
 
@@ -104,29 +138,32 @@ def fuzzy_cmeans_fit(df: DataFrame, k: int, cols: Sequence[str] = FEATURES, key:
     """
     data = df.select(*key, *cols)
     if init_centers is None:
-        u_prev = _init_memberships(key, k, seed)
-        row = data.agg(*_center_sums(u_prev, cols, k, m)).first()
+        prev_centers = None
+        row = _with_init_memberships(data, key, k, seed, "_u").agg(*_center_sums("_u", cols, k, m)).collect()[0]
         centers = _centers_from(row, cols, k)
     else:
-        u_prev = None
+        prev_centers = None
         centers = [list(map(float, c)) for c in init_centers]
+    first = init_centers is None
     err, it = float("inf"), 0
     for it in range(1, max_iter + 1):
-        u_cur = memberships_col(cols, centers, m)
-        aggs = _center_sums(u_cur, cols, k, m)
-        if u_prev is not None:
-            diff = sum(((F.get(u_cur, j) - F.get(u_prev, j)) ** 2 for j in range(k)), F.lit(0.0))
-            aggs.append(F.sum(diff).alias("_err2"))
-        row = data.agg(*aggs).first()
-        if u_prev is not None:
+        cur = with_memberships(data, centers, cols, m, "_u")
+        aggs = _center_sums("_u", cols, k, m)
+        if first or prev_centers is not None:
+            cur = (_with_init_memberships(cur, key, k, seed, "_p") if first
+                   else with_memberships(cur, prev_centers, cols, m, "_p"))
+            diff = " + ".join(f"pow(get(_u, {j}) - get(_p, {j}), 2)" for j in range(k))
+            aggs.append(F.expr(f"sum({diff})").alias("_err2"))
+        row = cur.agg(*aggs).collect()[0]
+        if first or prev_centers is not None:
             err = math.sqrt(row["_err2"])
             if err < error:
                 break
-        u_prev = memberships_col(cols, centers, m)
+        first = False
+        prev_centers = centers
         centers = _centers_from(row, cols, k)
-    u = memberships_col(cols, centers, m)
-    fpc_row = data.agg((F.sum(sum((F.get(u, j) ** 2 for j in range(k)), F.lit(0.0))) / F.count(F.lit(1)))
-                       .alias("fpc")).first()
+    fpc_row = with_memberships(data, centers, cols, m, "_u").agg(
+        (F.sum(F.aggregate("_u", F.lit(0.0), lambda a, x: a + x * x)) / F.count(F.lit(1))).alias("fpc")).first()
     return FuzzyResult(canonical_centers(centers), it, err, float(fpc_row["fpc"] or 0.0))
 
 

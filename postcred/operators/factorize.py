@@ -73,7 +73,7 @@ def nmf_fit(df: DataFrame, cols: Sequence[str] = FEATURES, rank: int = 5, max_it
             aggs += [F.sum(F.get("_h", j) * F.get("_h", k)).alias(f"hh{j}_{k}") for k in range(rank)]
         recon = [sum((F.get("_h", j) * F.lit(float(W[j, i])) for j in range(rank)), F.lit(0.0)) for i in range(d)]
         aggs.append(F.sum(sum(((F.col(c) - recon[i]) ** 2 for i, c in enumerate(cols)), F.lit(0.0))).alias("err"))
-        row = with_coords(data, cols, W, scale, inner_steps).agg(*aggs).first()
+        row = with_coords(data, cols, W, scale, inner_steps).agg(*aggs).collect()[0]
         HX = np.array([[row[f"hx{j}_{i}"] for i in range(d)] for j in range(rank)])
         HH = np.array([[row[f"hh{j}_{k}"] for k in range(rank)] for j in range(rank)])
         errors.append(math.sqrt(max(row["err"], 0.0)))

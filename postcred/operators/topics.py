@@ -69,9 +69,12 @@ def model_topic_terms(cv_model: CountVectorizerModel, lda_model: LocalLDAModel)
 
 
 def model_vocabulary(cv_model: CountVectorizerModel, spark) -> DataFrame:
-    """``(term, term_index)`` of a fitted vectoriser (bounded by its ``vocabSize``)."""
+    """``(term, term_index)`` of a fitted vectoriser (bounded by its ``vocabSize``; via Arrow)."""
+    import pandas as pd
     vocab = cv_model.vocabulary
-    return spark.createDataFrame(list(zip(vocab, range(len(vocab)))), "term string, term_index int")
+    pdf = pd.DataFrame({"term": pd.Series(vocab, dtype="object"),
+                        "term_index": pd.Series(range(len(vocab)), dtype="int32")})
+    return spark.createDataFrame(pdf, "term string, term_index int")
 
 
 def topic_word_weights(doc_topics: DataFrame, topic_terms: DataFrame | None = None,

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +36,23 @@ K = list(KEY)
 # ------------------------------------------------------------------ topic weights from a fitted LDA
 def lda_word_weights(spark: SparkSession, cv_model, lda_model, doc_topics: DataFrame, mode: str = "marginal",
                      key=KEY) -> DataFrame:
-    """F7 on a fitted model.  The topic matrix already lives on the driver (online LDA keeps it
-    there); it is k x vocab, bounded by the vectoriser's ``vocabSize``."""
-    vocab = cv_model.vocabulary
+    """F7 on a fitted model, as DataFrame operations.
+
+    ``marginal``: the normalised topic-word distributions (``describeTopics`` over the whole
+    vocabulary, computed in the JVM) joined to the k mean topic shares and summed per term.
+    The vocabulary (bounded by the vectoriser's ``vocabSize``) becomes a table through Arrow.
+    """
+    vocab_df = TP.model_vocabulary(cv_model, spark)
     if mode == "positional":
-        return TP.topic_word_weights(doc_topics, vocabulary=TP.model_vocabulary(cv_model, spark),
-                                     mode="positional", key=key)
-    mean_theta = {r["topic_id"]: r["m"] for r in
-                  doc_topics.groupBy("topic_id").agg(F.avg("prob").alias("m")).collect()}  # k rows
-    tm = lda_model.topicsMatrix().toArray()           # vocab x k
-    phi = tm / np.maximum(tm.sum(axis=0, keepdims=True), 1e-300)
-    theta = np.array([mean_theta.get(t, 0.0) for t in range(tm.shape[1])])
-    w = phi @ theta
-    return spark.createDataFrame([(t, float(x)) for t, x in zip(vocab, w)], "term string, weight double")
+        return TP.topic_word_weights(doc_topics, vocabulary=vocab_df, mode="positional", key=key)
+    mean_theta = doc_topics.groupBy("topic_id").agg(F.avg("prob").alias("m"))      # k rows
+    desc = lda_model.describeTopics(len(cv_model.vocabulary))
+    phi = desc.select(F.col("topic").alias("topic_id"),
+                      F.explode(F.arrays_zip("termIndices", "termWeights")).alias("tw"))
+    per_term = (phi.join(F.broadcast(mean_theta), "topic_id")
+                .groupBy(F.col("tw.termIndices").alias("term_index"))
+                .agg(F.sum(F.col("m") * F.col("tw.termWeights")).alias("weight")))
+    return per_term.join(vocab_df, "term_index").select("term", "weight")
 
 
 @dataclass
@@ -64,7 +67,8 @@ def fit_topic_weights(spark, posts: DataFrame, cfg: P.PipelineConfig) -> tuple[D
     """F5 -> F6 -> F7 -> F8: ``(key, topic_weight)`` for every post."""
     ltok = P.stored_tokens(posts, cfg.stopwords)
     cv_model, lda_model = TP.fit_topics(ltok, "ltokens", k=cfg.topics, passes=cfg.lda_passes,
-                                        chunk_size=cfg.lda_chunk, seed=cfg.seed)
+                                        chunk_size=cfg.lda_chunk, seed=cfg.seed,
+                                        vocab_size=cfg.vocab_size, min_df=cfg.min_df)
     dt = TP.topic_distribution(cv_model, lda_model, ltok, "ltokens")
     weights = lda_word_weights(spark, cv_model, lda_model, dt, cfg.topic_weight_mode)
     tw = TP.topic_doc_weight(ltok, weights, tokens="ltokens")

@@ -34,6 +34,8 @@ class PipelineConfig:
     fit_mode: str = "full"              # full | incremental
     mention_policy: str = "strip"       # strip | drop_row
     topics: int = 100
+    vocab_size: int = 1 << 18           # LDA vocabulary bound (the topic matrix is topics x vocab)
+    min_df: float = 1.0
     lda_passes: int = 1
     lda_chunk: int = 10_000
     topic_weight_mode: str = "marginal"  # marginal | positional
@@ -49,6 +51,17 @@ def posts_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_posts(capture_lines(spark, sf_dir)).drop("observed_at")
 
 
+def land(df: DataFrame) -> DataFrame:
+    """Materialise a frame once in the shared checkpoint folder (lineage cut, partitioning kept).
+
+    Used for the deduplicated posts: every feature reads them, and JSON parsing is the most
+    expensive step of the ingest.  A reliable checkpoint survives executor loss.
+    """
+    from postcred.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def with_reach(posts: DataFrame) -> DataFrame:
     """F1 column ``nfrq``."""
     return posts.withColumn("nfrq", retweet_ratio("retweet_count", "followers_count"))

@@ -84,19 +84,21 @@ def project_original(parsed: DataFrame) -> DataFrame:
     rs = F.col("tweet.retweeted_status")
     full = rs["extended_tweet"]["full_text"]
     text = F.when(full.isNotNull(), full).otherwise(rs["text"])
-    out = parsed.select(
+    followers = F.expr("try_cast(tweet.retweeted_status.user.followers_count as bigint)")
+    retweets = F.expr("try_cast(tweet.retweeted_status.retweet_count as bigint)")
+    # validity is tested on the raw fields (cheap) so the trims below run once per row
+    valid = parsed.where(
+        rs["user"]["screen_name"].isNotNull() & rs["created_at"].isNotNull()
+        & followers.isNotNull() & retweets.isNotNull() & text.isNotNull()
+    )
+    return valid.select(
         strip_ws(rs["user"]["screen_name"]).alias("screen_name"),
         strip_ws(rs["created_at"]).alias("created_at"),
-        F.expr("try_cast(tweet.retweeted_status.user.followers_count as bigint)").alias("followers_count"),
-        F.expr("try_cast(tweet.retweeted_status.retweet_count as bigint)").alias("retweet_count"),
+        followers.alias("followers_count"),
+        retweets.alias("retweet_count"),
         strip_ws(text).alias("text"),
         _observed_ts(F.col("tweet.created_at")).alias("observed_at"),
     )
-    return out.where(
-        F.col("screen_name").isNotNull() & F.col("created_at").isNotNull()
-        & F.col("followers_count").isNotNull() & F.col("retweet_count").isNotNull()
-        & F.col("text").isNotNull()
-    )
 
 
 def dedup_posts(posts: DataFrame, key=KEY) -> DataFrame:
