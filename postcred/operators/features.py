@@ -71,39 +71,27 @@ def standardize_apply(df: DataFrame, stats: StandardStats) -> DataFrame:
                        for c in df.columns])
 
 
-def standardize_sql(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
-    """F12 in one plan (fit + apply): a one-row stats aggregate cross-joined to every row."""
-    aggs = []
-    for c in cols:
-        aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}")]
-    stats = df.agg(*aggs)
-    j = df.crossJoin(F.broadcast(stats))
-    out = []
-    for c in df.columns:
-        if c in cols:
-            sd = F.col(f"_s_{c}")
-            scale = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
-            out.append(((F.col(c) - F.col(f"_m_{c}")) / scale).alias(c))
-        else:
-            out.append(F.col(c))
-    return j.select(*out)
+def standardize(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
+    """F12 fit + apply: one aggregation for the statistics, then a projection with literals."""
+    return standardize_apply(df, standardize_fit(df, cols))
 
 
 def column_sum_normalize(df: DataFrame, cols: Sequence[str] = FEATURES) -> DataFrame:
     """each value divided by its column sum (a zero sum gives NULL, as 0/0 would be NaN)."""
-    stats = df.agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(stats))
-    return j.select(*[F.try_divide(F.col(c), F.col(f"_t_{c}")).alias(c) if c in cols else F.col(c)
-                      for c in df.columns])
+    row = df.agg(*[F.sum(c).alias(c) for c in cols]).collect()[0]        # one row of sums
+    tot = {c: row[c] for c in cols}
+    return df.select(*[F.try_divide(F.col(c), F.lit(tot[c]).cast("double")).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
 
 
 def minmax_int_scale(df: DataFrame, col: str, lo: float = 0.0, hi: float = 1.0, out: str | None = None) -> DataFrame:
     """rescale a column to [lo, hi] and truncate toward zero; a constant column gives 0."""
     out = out or col
-    stats = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    j = df.crossJoin(F.broadcast(stats))
-    rng = F.col("_hi") - F.col("_lo")
-    scaled = ((F.col(col) - F.col("_lo")) * (F.lit(float(hi - lo)) / rng) + F.lit(float(lo)))
-    val = F.when(rng != 0, scaled.cast("long")).otherwise(F.lit(0).cast("long"))
+    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).collect()[0]   # one row
+    old_lo, old_hi = row["lo"], row["hi"]
     keep = [c for c in df.columns if c != out]
-    return j.select(*keep, val.alias(out))
+    if old_lo is None or old_hi - old_lo == 0:
+        return df.select(*keep, F.lit(0).cast("long").alias(out))
+    factor = float(hi - lo) / float(old_hi - old_lo)
+    scaled = (F.col(col) - F.lit(float(old_lo))) * F.lit(factor) + F.lit(float(lo))
+    return df.select(*keep, scaled.cast("long").alias(out))

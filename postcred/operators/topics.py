@@ -88,8 +88,8 @@ def topic_word_weights(doc_topics: DataFrame, topic_terms: DataFrame | None = No
     in the last post (largest key).
     """
     if mode == "marginal":
-        n = doc_topics.select(*key).distinct().count()
-        mean_theta = doc_topics.groupBy("topic_id").agg((F.sum("prob") / F.lit(float(n))).alias("m"))
+        # doc_topics is dense (every post has every topic), so the mean share is a plain average
+        mean_theta = doc_topics.groupBy("topic_id").agg(F.avg("prob").alias("m"))
         # one row per topic: bounded by the topic count
         return (topic_terms.join(F.broadcast(mean_theta), "topic_id")
                 .groupBy("term").agg(F.sum(F.col("m") * F.col("weight")).alias("weight")))

@@ -179,7 +179,7 @@ def q_abs_features(spark, sf):
 
 
 def _standardized(spark, sf) -> DataFrame:
-    return FE.standardize_sql(FE.abs_features(P.fixture_five_features(spark, sf)))
+    return FE.standardize(FE.abs_features(P.fixture_five_features(spark, sf)))
 
 
 def q_standardize(spark, sf):

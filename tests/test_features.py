@@ -37,7 +37,7 @@ def test_standardize_population_std(spark):
     z = FE.standardize_apply(df, FE.standardize_fit(df, ["a", "b"])).collect()
     assert [r["a"] for r in z] == pytest.approx([-1.069045, -0.267261, 1.336306], abs=1e-6)
     assert [r["b"] for r in z] == [0.0, 0.0, 0.0]
-    z2 = FE.standardize_sql(df, ["a", "b"]).collect()
+    z2 = FE.standardize(df, ["a", "b"]).collect()
     assert [r["a"] for r in z2] == pytest.approx([-1.069045, -0.267261, 1.336306], abs=1e-6)
 
 
