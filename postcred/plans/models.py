@@ -78,9 +78,8 @@ def fit_topic_weights(spark, posts: DataFrame, cfg: P.PipelineConfig) -> tuple[D
 def model_features(spark, posts: DataFrame, sentiment_lex: DataFrame, cfg: P.PipelineConfig):
     """F9 with LDA topic weights, checkpointed (the input of every fit below)."""
     tw, art = fit_topic_weights(spark, posts, cfg)
-    checkpoint_dir(spark)
     five = P.five_feature_frame(posts, sentiment_lex, art.weights, cfg.stopwords)
-    return five.checkpoint(eager=True), art
+    return P.land(five), art
 
 
 @dataclass
@@ -129,7 +128,7 @@ def fit_model(spark, five: DataFrame, cfg: P.PipelineConfig, weights: DataFrame
     stats = FE.standardize_fit(FE.abs_features(five))
     nmf = nmf_fit(FE.abs_features(five), seed=0, max_iter=50) if cfg.use_nmf else None
     # checkpoint cuts the lineage (safe against executor loss); cache serves the fit iterations
-    feats = cluster_features(five, stats, nmf).checkpoint(eager=True).persist()
+    feats = P.land(cluster_features(five, stats, nmf)).persist()
     fuzzy = _wants_fuzzy(cfg)
     km_centers = fz_centers = None
     if not fuzzy or cfg.compare_both:
@@ -233,9 +232,9 @@ def q_lda_five_features(spark, sf):
 
 
 def _fixture_feats(spark, sf):
-    five = P.fixture_five_features(spark, sf).checkpoint(eager=True)
+    five = P.land(P.fixture_five_features(spark, sf))
     stats = FE.standardize_fit(FE.abs_features(five))
-    return five, FE.standardize_apply(FE.abs_features(five), stats).checkpoint(eager=True).persist()
+    return five, P.land(FE.standardize_apply(FE.abs_features(five), stats)).persist()
 
 
 def q_kmeans_fit(spark, sf):
