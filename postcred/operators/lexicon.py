@@ -96,3 +96,31 @@ def with_deception_index(rates: DataFrame, out: str = "deception_index") -> Data
     """L4: add the deception index column computed from the category rate columns."""
     idx = deception_index()
     return rates.withColumn(out, idx)
+
+
+def comparison_scores(posts: DataFrame, subj_lexicon: DataFrame, cat_lexicon: DataFrame,
+                      text_col: str = "text_stripped", key: Sequence[str] = KEY,
+                      carry: Sequence[str] = (), categories: Sequence[str] = DECEPTION_CATEGORIES,
+                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """L2 + L3 + L4 in one pass: ``(key, carry..., subjectivity, <category rates>, deception_index)``.
+
+    The stripped text is exploded to words once; both lexicons are joined to the same rows.  The
+    category lexicon is first folded to one row per term (its category list), so a term in several
+    categories does not duplicate the word row that the subjectivity mean is taken over.
+    ``carry`` names per-post columns (e.g. ``pmi``) passed through the single aggregation.
+    """
+    cats = list(categories)
+    w = posts.select(*key, *carry, lexicon_words(text_col).alias("_w"))
+    words = w.select(*key, *carry, F.size("_w").alias("n_words"), F.posexplode_outer("_w").alias("pos", "term"))
+    subj = checked_broadcast(subj_lexicon.select("term", F.col("subjectivity").cast("double")), max_broadcast_rows)
+    per_term = (cat_lexicon.where(F.col("category").isin(cats))
+                .groupBy("term").agg(F.collect_set("category").alias("_cats")))    # bounded by the lexicon
+    catl = checked_broadcast(per_term, max_broadcast_rows)
+    j = words.join(subj, "term", "left").join(catl, "term", "left")
+    hits = j.where(F.col("subjectivity").isNotNull() | F.col("_cats").isNotNull() | _is_marker("pos"))
+    counts = [F.sum(F.when(F.array_contains("_cats", c), 1).otherwise(0)).alias(c) for c in cats]
+    agg = hits.groupBy(*key, *carry, "n_words").agg(F.avg("subjectivity").alias("subjectivity"), *counts)
+    rate = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n_words")), F.lit(0.0))
+    out = agg.select(*key, *carry, F.coalesce("subjectivity", F.lit(0.0)).alias("subjectivity"),
+                     *[rate(c).alias(c) for c in cats])
+    return with_deception_index(out)

@@ -131,6 +131,14 @@ def q_deception_index(spark, sf):
     return d.select(*K, r6("deception_index").alias("deception_index"))
 
 
+def q_comparison_scores(spark, sf):
+    from postcred.operators.lexicon import comparison_scores
+    posts = P.posts_from_tables(spark, sf)
+    _, subj, cats = P.fixture_lexicons(posts)
+    d = comparison_scores(P.comparison_text(posts), subj, cats)
+    return _r6_all(d, ["subjectivity", "deception_index", *DECEPTION_CATEGORIES])
+
+
 # ---------------------------------------------------------------- F: features
 def q_retweet_ratio(spark, sf):
     return P.with_reach(P.posts_from_tables(spark, sf)).select(*K, r6("nfrq").alias("nfrq"))
@@ -282,6 +290,7 @@ def deterministic_queries() -> dict[str, Callable[[SparkSession, str], DataFrame
         "lexicon_subjectivity": q_lexicon_subjectivity,
         "category_rates": q_category_rates,
         "deception_index": q_deception_index,
+        "comparison_scores": q_comparison_scores,
         "retweet_ratio": q_retweet_ratio,
         "token_entropy": q_token_entropy,
         "pmi_mean": q_pmi_mean,
@@ -376,6 +385,11 @@ def sql_catalog() -> dict[str, str]:
         "category_rates": O.with_(*lex, O.CAT_LEX, O.STRIPPED, *O.category_ctes()) + O.select_r6("cats", cats),
         "deception_index": O.with_(*lex, O.CAT_LEX, O.STRIPPED, *O.category_ctes()) + O.select_r6(
             "dec", ["deception_index"]),
+        "comparison_scores": O.with_(*lex, O.SUBJ_LEX, O.CAT_LEX, O.STRIPPED, *O.subjectivity_ctes(),
+                                     *O.category_ctes()) + (
+            f"SELECT {K2}, {O.r6('subjectivity')} AS subjectivity, "
+            + ", ".join(f"{O.r6(c)} AS {c}" for c in cats)
+            + f", {O.r6('deception_index')} AS deception_index FROM subj JOIN cats USING ({K2}) JOIN dec USING ({K2})"),
         "retweet_ratio": O.with_(O.POSTS) + f"SELECT {K2}, {O.r6(O.NFRQ)} AS nfrq FROM posts",
         "token_entropy": O.with_(O.POSTS, O.TOK, *O.entropy_ctes()) + O.select_r6("entropy_t", ["entropy"]),
         "pmi_mean": O.with_(*strip_, *O.pmi_ctes()) + O.select_r6("pmi_t", ["pmi"]),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from postcred.functions.features import retweet_ratio
 from postcred.operators import text as TX
-from postcred.operators.lexicon import category_rates, lexicon_sentiment, lexicon_subjectivity, with_deception_index
+from postcred.operators.lexicon import comparison_scores, lexicon_sentiment
 from postcred.operators.topics import topic_doc_weight, topic_word_weights
 from postcred.plans import fixtures as FX
 from postcred.schemas import KEY
@@ -127,8 +127,7 @@ def otc_frame(posts: DataFrame, subj_lex: DataFrame, cat_lex: DataFrame, policy:
     """Comparison-only columns: pmi, subjectivity, deception index, OTC parts and score."""
     from postcred.functions.features import otc_parts, otc_score
     ct = TX.with_text_stats(comparison_text(posts, policy, stopwords), tokens="stokens", entropy=None)
-    subj = lexicon_subjectivity(ct, subj_lex)
-    dec = with_deception_index(category_rates(ct, cat_lex)).select(*KEY, "deception_index")
-    j = ct.select(*KEY, "pmi").join(subj, list(KEY)).join(dec, list(KEY))
+    # one pass over the stripped text: pmi in the row, both lexicons on the same exploded words
+    j = comparison_scores(ct, subj_lex, cat_lex, carry=["pmi"]).select(*KEY, "pmi", "subjectivity", "deception_index")
     j = j.withColumn("otc_parts", otc_parts("pmi", "subjectivity", "deception_index"))
     return j.withColumn("otc_score", otc_score("otc_parts"))
