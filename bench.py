@@ -36,7 +36,7 @@ def main():
     landed = {}
 
     def q_ingest():
-        landed["posts"] = P.land(P.posts_from_tables(spark, sf_dir))
+        landed["posts"] = P.land_posts(P.posts_from_tables(spark, sf_dir))
 
     def q_text_stats():
         d = TX.with_text_stats(TX.with_tokens(P.with_reach(posts)), pmi=None)

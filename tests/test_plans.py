@@ -38,3 +38,19 @@ def test_json_parsed_once_per_line(spark, sf_small):
     d = project_original(filter_originals(parse_posts(capture_lines(spark, sf_small))))
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_landed_posts_need_no_exchange_downstream(spark, sf_small):
+    from postcred.operators.lexicon import comparison_scores
+    posts = P.land_posts(P.posts_from_tables(spark, sf_small))
+    lex = spark.createDataFrame([("cat", 2, "word")], "term string, score int, kind string").cache()
+    subj = spark.createDataFrame([("cat", 0.5)], "term string, subjectivity double").cache()
+    cats = spark.createDataFrame([("money", "cat")], "category string, term string").cache()
+    for d in (lex, subj, cats):
+        d.count()
+    ct = P.comparison_text(posts)
+    for df in (TX.token_counts(TX.with_tokens(posts)), lexicon_sentiment(posts, lex),
+               comparison_scores(ct, subj, cats)):
+        plan = _plan(df)
+        assert "Exchange hashpartitioning" not in plan.split("InMemoryRelation")[0], plan
+        assert df.count() > 0
