@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from postcred.operators import text as TX  # noqa: E402
-from postcred.operators.lexicon import category_rates, lexicon_sentiment, lexicon_subjectivity  # noqa: E402
+from postcred.operators.lexicon import comparison_scores, lexicon_sentiment  # noqa: E402
 from postcred.plans import pipeline as P  # noqa: E402
 from postcred.session import build_session  # noqa: E402
 
@@ -49,8 +49,7 @@ def main():
 
     def q_lexicons():
         ct = P.comparison_text(posts)
-        run(lexicon_sentiment(posts, sent).join(lexicon_subjectivity(ct, subj), ["screen_name", "created_at"], "left")
-            .join(category_rates(ct, cats), ["screen_name", "created_at"], "left"))
+        run(lexicon_sentiment(posts, sent).join(comparison_scores(ct, subj, cats), ["screen_name", "created_at"], "left"))
 
     def q_five_features():
         ltok = P.stored_tokens(posts)
