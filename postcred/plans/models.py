@@ -274,7 +274,11 @@ def q_save_load_model(spark, sf):
     return CL.kmeans_assign(z, loaded).select(*K, "kmeans_label")
 
 
-def _fixture_fit(spark, sf, cfg=SMALL):
+# network queries: one clustering (k-means labels); c-means has its own query and the model report
+FIT = P.PipelineConfig(k=3, algorithm="kmeans", topics=10, mlp_max_iter=100)
+
+
+def _fixture_fit(spark, sf, cfg=FIT):
     five, _ = _fixture_feats(spark, sf)
     return five, fit_model(spark, five, cfg)
 
@@ -290,6 +294,26 @@ def q_mlp_fit_incremental(spark, sf):
     return EV.prediction_match(pred.select(*K, "label", "predicted"))
 
 
+def q_stream_incremental_fit(spark, sf):
+    """M3 on Structured Streaming: labelled training rows arrive as files; every micro-batch
+    continues training from the previous weights; the held-out rows are then scored."""
+    from postcred.streaming.incremental import IncrementalTrainer, train_on_stream
+    five, _ = _fixture_feats(spark, sf)
+    stats = FE.standardize_fit(FE.abs_features(five))
+    feats = P.land(cluster_features(five, stats, None)).persist()
+    _, centers = CL.kmeans_fit(feats, FIT.k, seed=FIT.seed)
+    split = MC.ordered_split(CL.training_labels(CL.kmeans_assign(feats, centers), "kmeans"), FIT.test_share)
+    src = scratch_dir(spark, "train-stream")
+    (split.where(F.col("split") == "train").select(*FEATURES, "label")
+     .repartitionByRange(4, "label").write.mode("overwrite").parquet(src))
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    trainer = IncrementalTrainer(FIT.k, max_iter_per_batch=20, seed=FIT.seed)
+    train_on_stream(stream, trainer, scratch_dir(spark, "train-stream-ckpt"))
+    pred = MC.mlp_predict(trainer.model, split.where(F.col("split") == "test"))
+    return EV.prediction_match(pred.select(*K, "label", "predicted"))
+
+
 def q_holdout_report(spark, sf):
     five, (_, _, pred) = _fixture_fit(spark, sf)
     return holdout_report(five, pred)
@@ -349,6 +373,7 @@ def model_queries():
         "save_load_model": q_save_load_model,
         "mlp_predict": q_mlp_predict,
         "mlp_fit_incremental": q_mlp_fit_incremental,
+        "stream_incremental_fit": q_stream_incremental_fit,
         "holdout_report": q_holdout_report,
         "holdout_metrics": q_holdout_metrics,
         "model_report": q_model_report,
