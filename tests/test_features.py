@@ -102,3 +102,19 @@ def test_lexicon_joins(spark):
     c = {r["screen_name"]: r for r in category_rates(posts, catlex).collect()}
     assert (c["a"]["money"], c["a"]["power"], c["a"]["fear"], c["a"]["hate"]) == (0.5, 0.5, 0.5, 0.0)
     assert c["b"]["money"] == 0.0
+
+
+def test_comparison_scores_equals_separate_operators(spark, sf_small):
+    from postcred.operators.lexicon import comparison_scores, with_deception_index
+    from postcred.plans import pipeline as P
+    posts = P.posts_from_tables(spark, sf_small)
+    _, subj, cats = P.fixture_lexicons(posts)
+    ct = P.comparison_text(posts)
+    one = {(r["screen_name"], r["created_at"]): r for r in comparison_scores(ct, subj, cats).collect()}
+    s = {(r["screen_name"], r["created_at"]): r["subjectivity"] for r in lexicon_subjectivity(ct, subj).collect()}
+    c = {(r["screen_name"], r["created_at"]): r for r in with_deception_index(category_rates(ct, cats)).collect()}
+    assert set(one) == set(s) == set(c) and len(one) > 0
+    for k, r in one.items():
+        assert r["subjectivity"] == pytest.approx(s[k], abs=1e-12)
+        assert r["deception_index"] == pytest.approx(c[k]["deception_index"], abs=1e-12)
+        assert r["money"] == pytest.approx(c[k]["money"], abs=1e-12)
