@@ -37,6 +37,11 @@ def fit_topics(tokens_df: DataFrame, tokens: str = "tokens", k: int = DEFAULT_TO
     cv = CountVectorizer(inputCol=tokens, outputCol="_bow", vocabSize=vocab_size, minDF=min_df)
     cv_model = cv.fit(tokens_df)
     bow = cv_model.transform(tokens_df.select(tokens))
+    # every input partition of the online optimiser emits a dense topics x vocabulary statistics
+    # matrix per mini-batch; more partitions than task slots only add to that aggregation
+    slots = tokens_df.sparkSession.sparkContext.defaultParallelism
+    if bow.rdd.getNumPartitions() > slots:
+        bow = bow.coalesce(slots)
     n_docs = tokens_df.count()
     frac = min(1.0, chunk_size / max(n_docs, 1))
     iters = max(1, int(math.ceil(passes / frac)))
