@@ -33,8 +33,10 @@ POST_COLS = ["screen_name", "created_at", "followers_count", "retweet_count", "t
 
 
 def r6(c) -> F.Column:
+    """6-digit rounding with plain IEEE steps, so Spark and DuckDB agree even on exact ties
+    (``round`` rounds the decimal text in Spark but the binary value in DuckDB)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6) + F.lit(0.0)
+    return F.floor(c.cast("double") * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6) + F.lit(0.0)
 
 
 def _r6_all(df: DataFrame, cols) -> DataFrame:

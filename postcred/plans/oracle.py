@@ -56,7 +56,7 @@ def lex_words(x: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"(round(CAST({x} AS DOUBLE), 6) + 0.0)"
+    return f"(CAST(floor(CAST({x} AS DOUBLE) * 1e6 + 0.5) AS DOUBLE) / 1e6 + 0.0)"
 
 
 CREATED_AT = "strftime(TIMESTAMP '2018-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)), '%Y-%m-%d %H:%M:%S')"
