@@ -40,7 +40,8 @@ def _compact(runs: list[DataFrame], name: str) -> DataFrame:
 def key_index(pairs: DataFrame, batches: int = 3, fanout: int = 2) -> DataFrame:
     """(h1, h2, n_docs, keeper) over all documents, built batch by batch from levelled runs."""
     held = stored(pairs.select("id", *H).distinct(), "line-keys")
-    cuts = held.approxQuantile("id", [1 - i / batches for i in range(1, batches)], 0.02)
+    shares = [1 - i / batches for i in range(1, batches)]
+    cuts = (held.agg(F.percentile_approx("id", shares, 1000)).first()[0] if shares else None) or []
     bounds = [None, *sorted({int(c) for c in cuts}, reverse=True), None]
     levels: list[list[DataFrame]] = [[]]
     for top, low in zip(bounds, bounds[1:]):

@@ -30,6 +30,7 @@ from tokenizers import Tokenizer
 from postcred.llm.common import packed, row_blocks, stored
 
 CAPACITY, END_ID = 1024, 0
+GROUP_PIECES = 200_000
 
 
 class TokenBytes:
@@ -230,8 +231,8 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, wo
         demand[r["length"]] = r["count"]
     table = spark.createDataFrame([tuple(map(int, s)) for s in slots(solve(demand, capacity))],
                                   "s_length long, lo long, hi long, per long, first_sequence long, first_offset long")
-    # Rank of a piece among those of its length, in two levels: a hot length is spread over ``salts`` groups.
-    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Rank of a piece among those of its length, in two levels: a hot length is spread over groups of bounded size.
+    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(demand.max()) // GROUP_PIECES))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "rk", "start"), F.lit(salts)))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").count().select(
