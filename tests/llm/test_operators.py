@@ -131,21 +131,18 @@ def test_capture_history_is_globally_ordered(spark, odd, tmp_path):
     assert keys == sorted(keys) and len(rows) == pages.count()
 
 
-def test_cutting_stock_covers_the_demand():
-    rng = np.random.default_rng(2)
-    for top in (64, 1024):
-        demand = np.zeros(top + 1, np.int64)
-        for x in rng.integers(1, top + 1, 3000):
-            demand[x] += 1
-        plan = packing.solve(demand, top)
-        used = Counter()
-        for p, times in plan:
-            assert sum(x * k for x, k in p.items()) <= top
-            for x, k in p.items():
-                used[x] += k * times
-        assert used == Counter({x: int(n) for x, n in enumerate(demand) if n})
-        least = -(-int((np.arange(top + 1) * demand).sum()) // top)
-        assert sum(t for _, t in plan) <= 1.03 * least + 2
+@pytest.mark.parametrize("top,n", [(64, 3000), (256, 100_000)])
+def test_cutting_stock_covers_the_demand(top, n):
+    demand = np.bincount(np.random.default_rng(2).integers(1, top + 1, n), minlength=top + 1)
+    used = np.zeros(top + 1, np.int64)
+    sequences = 0
+    for p, times in packing.solve(demand, top):
+        assert sum(x * k for x, k in p.items()) <= top
+        sequences += times
+        for x, k in p.items():
+            used[x] += k * times
+    assert (used == demand).all()
+    assert sequences <= 1.02 * (np.arange(top + 1) * demand).sum() / top + 2
 
 
 def test_repeated_runs_against_plain_search():
