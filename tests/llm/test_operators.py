@@ -165,8 +165,8 @@ def test_repeated_runs_against_plain_search():
 
 
 def test_boilerplate_leaves_open_pages():
-    pages = [f"<div>Read our terms of use before you go on</div><p>Story number {k} tells of thing{k} and its kin{k}</p>" for k in range(4)]
-    assert shard_texts(pages, 6, 3) == [f"Story number {k} tells of thing{k} and its kin{k}" for k in range(4)]
+    pages = [f"<div>Read our terms of use before you go on</div><p>Story{k} tells of thing{k} and its kin{k}</p>" for k in range(4)]
+    assert shard_texts(pages, 6, 3) == [f"Story{k} tells of thing{k} and its kin{k}" for k in range(4)]
 
 
 def test_lattice_forward_equals_listing_all_segmentations():
