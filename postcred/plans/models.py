@@ -305,7 +305,7 @@ def q_stream_incremental_fit(spark, sf):
     split = MC.ordered_split(CL.training_labels(CL.kmeans_assign(feats, centers), "kmeans"), FIT.test_share)
     src = scratch_dir(spark, "train-stream")
     (split.where(F.col("split") == "train").select(*FEATURES, "label")
-     .repartitionByRange(4, "label").write.mode("overwrite").parquet(src))
+     .repartition(4, F.xxhash64(*FEATURES)).write.mode("overwrite").parquet(src))
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     trainer = IncrementalTrainer(FIT.k, max_iter_per_batch=20, seed=FIT.seed)

@@ -101,17 +101,20 @@ def project_original(parsed: DataFrame) -> DataFrame:
     )
 
 
+#: Columns that say which observation of a post is the latest.
+ORDER = ("observed_at", "retweet_count", "text")
+
+
 def dedup_posts(posts: DataFrame, key=KEY) -> DataFrame:
     """One row per post key; the latest observation wins.
 
-    Ties are broken by retweet count then text so the result does not depend on file order
-    (quirk Q3).  ``max_by`` is a partial aggregate: a key observed millions of times collapses
-    map-side before the shuffle, so a hot key cannot overload one reducer.
+    Ties are broken by retweet count, text and then every other column, so the result does not
+    depend on file order (quirk Q3).  ``max`` of one struct is a partial aggregate that carries each
+    column once: a key observed millions of times collapses map-side before the shuffle.
     """
     others = [c for c in posts.columns if c not in key]
-    order = F.struct(F.coalesce(F.col("observed_at"), F.lit(None).cast("timestamp")).alias("o"),
-                     F.col("retweet_count"), F.col("text"))
-    agg = posts.groupBy(*key).agg(F.max_by(F.struct(*others), order).alias("_last"))
+    order = [c for c in ORDER if c in others]
+    agg = posts.groupBy(*key).agg(F.max(F.struct(*order, *[c for c in others if c not in order])).alias("_last"))
     return agg.select(*key, *[F.col("_last")[c].alias(c) for c in others])
 
 

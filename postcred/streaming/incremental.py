@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from postcred.operators.classify import mlp_fit
 from postcred.schemas import CAPTURE_SCHEMA, FEATURES, KEY
-from postcred.sources.captures import CAPTURE_PATH_MARK, filter_originals, project_original
+from postcred.sources.captures import dedup_posts, CAPTURE_PATH_MARK, filter_originals, project_original
 
 
 def capture_stream(spark: SparkSession, folder: str, path_contains: str = CAPTURE_PATH_MARK,
@@ -34,12 +34,12 @@ def capture_stream(spark: SparkSession, folder: str, path_contains: str = CAPTUR
 
 
 def latest_posts(stream: DataFrame, watermark: str = "7 days", key: Sequence[str] = KEY) -> DataFrame:
-    """Streaming S5: latest observation per post key (state evicted behind the watermark)."""
-    others = [c for c in stream.columns if c not in key]
-    order = F.struct(F.col("observed_at"), F.col("retweet_count"), F.col("text"))
-    agg = (stream.withWatermark("observed_at", watermark)
-           .groupBy(*key).agg(F.max_by(F.struct(*others), order).alias("_last")))
-    return agg.select(*key, *[F.col("_last")[c].alias(c) for c in others])
+    """Streaming S5: latest observation per post key.
+
+    The state holds one row per post seen; the watermark is not part of the grouping key, so Spark
+    does not evict posts from it.
+    """
+    return dedup_posts(stream.withWatermark("observed_at", watermark), key)
 
 
 class IncrementalTrainer:
@@ -66,7 +66,7 @@ class IncrementalTrainer:
 
 def train_on_stream(stream: DataFrame, trainer: IncrementalTrainer, checkpoint_location: str,
                     available_now: bool = True):
-    """Run ``trainer`` over every micro-batch of ``stream`` (exactly-once via the checkpoint)."""
+    """Run ``trainer`` over every micro-batch of ``stream`` (the checkpoint holds offsets; weights live in ``trainer``)."""
     writer = stream.writeStream.foreachBatch(trainer).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer
     q = writer.start()

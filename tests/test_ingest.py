@@ -68,3 +68,13 @@ def test_folder_selection(spark):
     assert scanned == {"a.json", "FlumeFile.json"}
     names = {r["screen_name"] for r in project_original(filter_originals(read_captures(spark, root))).collect()}
     assert names == {"FlumeDataa.json", "otherFlumeFile.json"}
+
+
+def test_dedup_is_a_total_order(spark):
+    """Rows equal in time, retweets and text: the answer does not depend on the input order."""
+    from postcred.sources.captures import dedup_posts
+    schema = "screen_name string, created_at string, text string, followers_count long, retweet_count long, observed_at timestamp"
+    rows = [("a", "t", "same", n, 3, None) for n in (1, 9, 4)]
+    for some in (rows, rows[::-1]):
+        got = dedup_posts(spark.createDataFrame(some, schema).coalesce(1)).collect()
+        assert [(r.followers_count, r.text) for r in got] == [(9, "same")]
