@@ -22,18 +22,19 @@ from postcred.schemas import KEY
 
 # Topic count of the reference's LDA call (library default).
 DEFAULT_TOPICS = 100
-# Vocabulary bound of the count vectoriser (Spark's default); LDA's topic matrix is k x vocab.
-DEFAULT_VOCAB_SIZE = 1 << 18
 
 
 def fit_topics(tokens_df: DataFrame, tokens: str = "tokens", k: int = DEFAULT_TOPICS,
                passes: int = 1, chunk_size: int = 10_000, seed: int = 7,
-               vocab_size: int = DEFAULT_VOCAB_SIZE, min_df: float = 1.0):
-    """online LDA over the bag of words of every post (one pass in chunks of ``chunk_size``).
+               vocab_size: int | None = None, min_df: float = 1.0):
+    """online LDA over the bag of words of every post, in chunks of ``chunk_size``.
 
-    Returns ``(count_vectorizer_model, lda_model)``.  Mini-batch fraction and iteration count
-    are set so that the optimiser sees the corpus ``passes`` times in ``chunk_size`` batches.
+    Returns ``(count_vectorizer_model, lda_model)``.  The vocabulary holds every distinct token unless
+    ``vocab_size`` bounds it.  Mini-batch fraction and iteration count are set so that the optimiser
+    draws ``passes`` times as many posts as there are; it draws with replacement, so one pass does not see each post.
     """
+    if vocab_size is None:
+        vocab_size = max(1, tokens_df.select(F.explode(tokens).alias("t")).distinct().count())
     cv = CountVectorizer(inputCol=tokens, outputCol="_bow", vocabSize=vocab_size, minDF=min_df)
     cv_model = cv.fit(tokens_df)
     bow = cv_model.transform(tokens_df.select(tokens))

@@ -10,7 +10,7 @@ every iterative fit then scans a short, recomputation-safe lineage.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +28,7 @@ from postcred.schemas import FEATURES, KEY
 from postcred.session import checkpoint_dir, scratch_dir
 from postcred.sources.captures import (dedup_posts, filter_originals, project_original, read_captures)
 from postcred.sources.adapter import write_capture_folder
-from postcred.sources.tables import write_report
+from postcred.sources.tables import read_feature_table, write_feature_table, write_report
 
 K = list(KEY)
 
@@ -63,9 +63,10 @@ class TopicArtifacts:
     weights: DataFrame
 
 
-def fit_topic_weights(spark, posts: DataFrame, cfg: P.PipelineConfig) -> tuple[DataFrame, TopicArtifacts]:
+def fit_topic_weights(spark, posts: DataFrame, cfg: P.PipelineConfig,
+                      text_col: str = "text") -> tuple[DataFrame, TopicArtifacts]:
     """F5 -> F6 -> F7 -> F8: ``(key, topic_weight)`` for every post."""
-    ltok = P.stored_tokens(posts, cfg.stopwords)
+    ltok = P.stored_tokens(posts, cfg.stopwords, text_col)
     cv_model, lda_model = TP.fit_topics(ltok, "ltokens", k=cfg.topics, passes=cfg.lda_passes,
                                         chunk_size=cfg.lda_chunk, seed=cfg.seed,
                                         vocab_size=cfg.vocab_size, min_df=cfg.min_df)
@@ -82,6 +83,29 @@ def model_features(spark, posts: DataFrame, sentiment_lex: DataFrame, cfg: P.Pip
     return P.land(five), art
 
 
+def comparison_posts(posts: DataFrame, cfg: P.PipelineConfig) -> DataFrame:
+    """Entry B's posts, landed: with ``text_stripped`` (URLs and mentions gone by the policy); emptied posts are dropped."""
+    kept = P.comparison_text(posts, cfg.mention_policy, cfg.stopwords)
+    return P.land_posts(kept.select(*posts.columns, "text_stripped"))
+
+
+def comparison_five(kept: DataFrame, sentiment_lex: DataFrame, weights: DataFrame, cfg: P.PipelineConfig) -> DataFrame:
+    """F9 + F10 for entry B: topic weight of the stripped text, the other features of the original; rows by their maximum."""
+    return FE.row_max_normalize(P.five_feature_frame(kept, sentiment_lex, weights, cfg.stopwords, "text_stripped"))
+
+
+def comparison_model(spark, posts: DataFrame, sentiment_lex: DataFrame, subj_lex: DataFrame, cat_lex: DataFrame,
+                     cfg: P.PipelineConfig):
+    """Entry B: the rival-score run.  Returns (bundle, report, holdout predictions); the report has the OTC score."""
+    kept = comparison_posts(posts, cfg)
+    _, art = fit_topic_weights(spark, kept, cfg, "text_stripped")
+    five = P.land(comparison_five(kept, sentiment_lex, art.weights, cfg))
+    bundle, labelled, pred = fit_model(spark, five, cfg, art.weights)
+    otc = P.otc_frame(posts, subj_lex, cat_lex, cfg.mention_policy, cfg.stopwords)
+    stripped = kept.withColumn("text", F.col("text_stripped"))
+    return bundle, model_report(stripped, five, labelled, otc), pred
+
+
 @dataclass
 class ModelBundle:
     """Everything needed to score new posts the way the training posts were scored."""
@@ -92,6 +116,7 @@ class ModelBundle:
     fuzzy_centers: list | None
     net: object
     weights: DataFrame
+    diagnostics: dict = field(default_factory=dict)  # per iterative fit: iterations, last error, converged
 
 
 def cluster_features(df: DataFrame, bundle_stats: FE.StandardStats, nmf: NmfModel | None) -> DataFrame:
@@ -126,7 +151,11 @@ def _wants_fuzzy(cfg) -> bool:
 def fit_model(spark, five: DataFrame, cfg: P.PipelineConfig, weights: DataFrame | None = None):
     """Entry A after F9: scaling, optional NMF, clustering, labels, split, network, holdout."""
     stats = FE.standardize_fit(FE.abs_features(five))
-    nmf = nmf_fit(FE.abs_features(five), seed=0, max_iter=50) if cfg.use_nmf else None
+    diagnostics = {}
+    nmf = nmf_fit(FE.abs_features(five), seed=0, max_iter=cfg.nmf_max_iter) if cfg.use_nmf else None
+    if nmf is not None:
+        diagnostics["nmf"] = {"iterations": nmf.iterations, "error": nmf.errors[-1] if nmf.errors else None,
+                              "converged": nmf.iterations < cfg.nmf_max_iter}
     # checkpoint cuts the lineage (safe against executor loss); cache serves the fit iterations
     feats = P.land(cluster_features(five, stats, nmf)).persist()
     fuzzy = _wants_fuzzy(cfg)
@@ -134,8 +163,10 @@ def fit_model(spark, five: DataFrame, cfg: P.PipelineConfig, weights: DataFrame
     if not fuzzy or cfg.compare_both:
         _, km_centers = CL.kmeans_fit(feats, cfg.k, seed=cfg.seed)
     if fuzzy or cfg.compare_both:
-        fz_centers = CL.fuzzy_cmeans_fit(feats, cfg.k, error=cfg.cmeans_error, max_iter=cfg.cmeans_max_iter,
-                                         seed=cfg.seed).centers
+        fuzzy_fit = CL.fuzzy_cmeans_fit(feats, cfg.k, error=cfg.cmeans_error, max_iter=cfg.cmeans_max_iter, seed=cfg.seed)
+        fz_centers = fuzzy_fit.centers
+        diagnostics["cmeans"] = {"iterations": fuzzy_fit.iterations, "error": fuzzy_fit.error,
+                                 "converged": fuzzy_fit.error < cfg.cmeans_error}
     labelled = label_posts(feats, cfg, km_centers, fz_centers)
     split = MC.ordered_split(labelled, cfg.test_share)
     train = split.where(F.col("split") == "train")
@@ -143,9 +174,9 @@ def fit_model(spark, five: DataFrame, cfg: P.PipelineConfig, weights: DataFrame
     if cfg.fit_mode == "full":
         net = MC.mlp_fit(train, cfg.k, max_iter=cfg.mlp_max_iter, seed=cfg.seed)
     else:
-        net = MC.mlp_fit_incremental(_slices(train, 4), cfg.k, seed=cfg.seed)
+        net = MC.mlp_fit_incremental(_slices(train, cfg.fit_slices), cfg.k, max_iter_per_batch=cfg.mlp_max_iter, seed=cfg.seed)
     pred = MC.mlp_predict(net, test)
-    bundle = ModelBundle(cfg, stats, nmf, km_centers, fz_centers, net, weights)
+    bundle = ModelBundle(cfg, stats, nmf, km_centers, fz_centers, net, weights, diagnostics)
     return bundle, labelled, pred
 
 
@@ -180,7 +211,21 @@ def model_report(posts: DataFrame, five: DataFrame, labelled: DataFrame, otc: Da
 def score_external(spark, bundle: ModelBundle, posts: DataFrame, sentiment_lex: DataFrame) -> DataFrame:
     """Entry C / E5: features of other posts with the *fitted* topic weights, scaler, basis,
     centres and network; predicted label next to the clustering label."""
-    five = P.five_feature_frame(posts, sentiment_lex, bundle.weights, bundle.cfg.stopwords)
+    return score_features(bundle, P.five_feature_frame(posts, sentiment_lex, bundle.weights, bundle.cfg.stopwords))
+
+
+def external_report(scored: DataFrame, posts: DataFrame) -> DataFrame:
+    """R3 for a capture folder: post fields, features, both labels and the share of equal labels in percent."""
+    share = EV.accuracy(scored).first()["accuracy_pct"]  # one row
+    fields = posts.select(*K, "followers_count", "retweet_count", F.replace("text", F.lit("\n"), F.lit("")).alias("text"))
+    return fields.join(scored, K).withColumn("accuracy_pct", F.lit(share).cast("double"))
+
+
+def score_features(bundle: ModelBundle, five: DataFrame) -> DataFrame:
+    """E5 / R3 on a feature table: the post key, if the table has none, is a row number as text."""
+    if any(c not in five.columns for c in K):
+        numbered = F.monotonically_increasing_id().cast("string")
+        five = P.land(five.select(numbered.alias(K[0]), F.lit("").alias(K[1]), *FEATURES))
     feats = cluster_features(five, bundle.stats, bundle.nmf)
     labelled = label_posts(feats, bundle.cfg, bundle.kmeans_centers, bundle.fuzzy_centers)
     pred = MC.mlp_predict(bundle.net, labelled)
@@ -202,12 +247,12 @@ def q_fit_topics(spark, sf):
     posts = P.posts_from_tables(spark, sf)
     ltok = P.stored_tokens(posts)
     cv, lda = TP.fit_topics(ltok, "ltokens", k=SMALL.topics, seed=SMALL.seed)
-    desc = lda.describeTopics(10)
+    desc = lda.describeTopics(len(cv.vocabulary))  # the whole model
     vocab = TP.model_vocabulary(cv, spark)
     rows = desc.select(F.col("topic").alias("topic_id"),
                        F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "tw"))
     return rows.select("topic_id", "rank", F.col("tw.termIndices").alias("term_index"),
-                       F.col("tw.termWeights").alias("weight")).join(F.broadcast(vocab), "term_index")
+                       F.col("tw.termWeights").alias("weight")).join(vocab, "term_index")
 
 
 def q_topic_distribution(spark, sf):
@@ -308,7 +353,7 @@ def q_stream_incremental_fit(spark, sf):
      .repartition(4, F.xxhash64(*FEATURES)).write.mode("overwrite").parquet(src))
     schema = spark.read.parquet(src).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    trainer = IncrementalTrainer(FIT.k, max_iter_per_batch=20, seed=FIT.seed)
+    trainer = IncrementalTrainer(FIT.k, max_iter_per_batch=20, seed=FIT.seed, state_dir=scratch_dir(spark, "train-stream-model"))
     train_on_stream(stream, trainer, scratch_dir(spark, "train-stream-ckpt"))
     pred = MC.mlp_predict(trainer.model, split.where(F.col("split") == "test"))
     return EV.prediction_match(pred.select(*K, "label", "predicted"))
@@ -342,8 +387,23 @@ def q_nmf_model(spark, sf):
     return labelled.select(*K, *FEATURES, "kmeans_label", "label")
 
 
-def q_external_agreement(spark, sf):
-    """Fit on the first capture folder, score the later capture of the same posts."""
+def q_comparison_report(spark, sf):
+    """Entry B end to end: stripped posts, row-max features, both clusterings, OTC score."""
+    posts, sent, subj, cats = _posts_and_lex(spark, sf)
+    _, report, _ = comparison_model(spark, posts, sent, subj, cats, SMALL)
+    return report
+
+
+def q_external_feature_table(spark, sf):
+    """E5 / R3 on a feature table without keys, written and read back as tab-separated text."""
+    five, (bundle, _, _) = _fixture_fit(spark, sf)
+    path = scratch_dir(spark, "feature-table")
+    write_feature_table(five.select(*FEATURES), path)
+    return score_features(bundle, read_feature_table(spark, path)).select(*FEATURES, "label", "predicted")
+
+
+def _external(spark, sf):
+    """Fit on the first capture folder, score the later capture of the same posts: (scored, later posts)."""
     root = write_capture_folder(spark, sf)
     first = dedup_posts(project_original(filter_originals(read_captures(spark, f"{root}/FlumeData-1"))))
     later = dedup_posts(project_original(filter_originals(read_captures(spark, f"{root}/FlumeData-2"))))
@@ -351,12 +411,15 @@ def q_external_agreement(spark, sf):
     cfg = P.PipelineConfig(k=3, algorithm="kmeans", topics=10, mlp_max_iter=100)
     five, art = model_features(spark, first, sent, cfg)
     bundle, _, _ = fit_model(spark, five, cfg, art.weights)
-    scored = score_external(spark, bundle, later, sent)
-    return scored
+    return P.land(score_external(spark, bundle, later, sent)), later
+
+
+def q_external_report(spark, sf):
+    return external_report(*_external(spark, sf))
 
 
 def q_external_accuracy(spark, sf):
-    return EV.accuracy(q_external_agreement(spark, sf))
+    return EV.accuracy(_external(spark, sf)[0])
 
 
 def model_queries():
@@ -377,6 +440,8 @@ def model_queries():
         "holdout_report": q_holdout_report,
         "holdout_metrics": q_holdout_metrics,
         "model_report": q_model_report,
-        "external_report": q_external_agreement,
+        "external_report": q_external_report,
+        "external_feature_table": q_external_feature_table,
+        "comparison_report": q_comparison_report,
         "external_agreement": q_external_accuracy,
     }

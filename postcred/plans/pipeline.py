@@ -34,14 +34,16 @@ class PipelineConfig:
     fit_mode: str = "full"              # full | incremental
     mention_policy: str = "strip"       # strip | drop_row
     topics: int = 100
-    vocab_size: int = 1 << 18           # LDA vocabulary bound (the topic matrix is topics x vocab)
+    vocab_size: int | None = None       # LDA vocabulary bound; None: every distinct token (the topic matrix is topics x vocab)
     min_df: float = 1.0
     lda_passes: int = 1
     lda_chunk: int = 10_000
     topic_weight_mode: str = "marginal"  # marginal | positional
     cmeans_error: float = 0.005
     cmeans_max_iter: int = 1500
-    mlp_max_iter: int = 500
+    mlp_max_iter: int = 500             # per slice if fit_mode is incremental
+    fit_slices: int = 4
+    nmf_max_iter: int = 200
     seed: int = 21
     stopwords: tuple | None = field(default=None)
 
@@ -91,9 +93,9 @@ def comparison_text(posts: DataFrame, policy: str = "strip", stopwords=None) ->
     return TX.with_tokens(d, "text_stripped", "stokens", stopwords)
 
 
-def stored_tokens(posts: DataFrame, stopwords=None) -> DataFrame:
+def stored_tokens(posts: DataFrame, stopwords=None, text_col: str = "text") -> DataFrame:
     """Tokens the topic model sees: cleaned stored text (newlines deleted, T6)."""
-    return TX.with_tokens(TX.with_stored_text(posts), "stored_text", "ltokens", stopwords).select(*KEY, "ltokens")
+    return TX.with_tokens(TX.with_stored_text(posts, text_col), "stored_text", "ltokens", stopwords).select(*KEY, "ltokens")
 
 
 def fixture_lexicons(posts: DataFrame, stopwords=None):
@@ -119,11 +121,11 @@ def fixture_topic_tables(posts: DataFrame, ltok: DataFrame):
 
 
 def five_feature_frame(posts: DataFrame, sentiment_lex: DataFrame, weights: DataFrame,
-                       stopwords=None) -> DataFrame:
-    """F9 for the five-feature model: nfrq, positive, negative, entropy, topic_weight."""
+                       stopwords=None, topic_text: str = "text") -> DataFrame:
+    """F9 for the five-feature model: nfrq, positive, negative, entropy, topic_weight (of ``topic_text``)."""
     tok = TX.with_text_stats(TX.with_tokens(with_reach(posts), stopwords=stopwords), pmi=None)
     sent = lexicon_sentiment(posts, sentiment_lex)
-    ltok = stored_tokens(posts, stopwords)
+    ltok = stored_tokens(posts, stopwords, topic_text)
     tw = topic_doc_weight(ltok, weights, tokens="ltokens")
     return (tok.select(*KEY, "nfrq", "entropy").join(sent, list(KEY)).join(tw, list(KEY))
             .select(*KEY, "nfrq", F.col("positive").cast("double").alias("positive"),

@@ -50,13 +50,15 @@ def ensure_defaults(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a private temp folder only when none is set."""
+    """The shared checkpoint folder of the cluster; a private temp folder only in local mode when none is set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="postcred-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

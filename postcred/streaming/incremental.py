@@ -4,13 +4,14 @@ The reference is batch-only; its one incremental piece is training the network r
 slice (``fit_mode != full``).  Here the same idea runs per micro-batch: ``foreachBatch`` fits on
 the batch starting from the previous weights, and the only state kept between batches is the
 weight vector (a few hundred doubles).  The capture stream reuses the batch parse / project code
-and keeps the latest observation per post in the state store, bounded by a watermark.
+and keeps the latest observation per post in the state store.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,30 +44,61 @@ def latest_posts(stream: DataFrame, watermark: str = "7 days", key: Sequence[str
 
 
 class IncrementalTrainer:
-    """``foreachBatch`` callback for M3: each micro-batch continues training from the last weights."""
+    """``foreachBatch`` callback for M3: each micro-batch continues training from the last weights.
+
+    With ``state_dir`` (a folder beside the stream's checkpoint) the model of every batch is saved under its
+    epoch.  A batch always starts from the newest model of an *earlier* epoch, so a restarted trainer goes
+    on where the last one ended and a replayed batch gives the same model again instead of training twice.
+    """
 
     def __init__(self, n_classes: int, cols: Sequence[str] = FEATURES, label: str = "label",
-                 max_iter_per_batch: int = 20, seed: int = 21):
+                 max_iter_per_batch: int = 20, seed: int = 21, state_dir: str | None = None):
         self.n_classes = n_classes
         self.cols = list(cols)
         self.label = label
         self.max_iter = max_iter_per_batch
         self.seed = seed
+        self.state_dir = state_dir
         self.model = None
         self.batches = 0
 
+    def _path(self, epoch_id: int) -> str:
+        return f"{self.state_dir.rstrip('/')}/epoch-{epoch_id}"
+
+    def load(self, spark: SparkSession, before: int | None = None):
+        """The newest saved model (of an epoch under ``before``), or None; also kept as ``model``."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.state_dir)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        epochs = []
+        if fs.exists(path):
+            for status in fs.listStatus(path):
+                # a model counts once its data part, written last, is complete
+                if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "data/_SUCCESS")):
+                    epochs.append(int(status.getPath().getName().removeprefix("epoch-")))
+        epochs = [e for e in epochs if before is None or e < before]
+        self.model = MultilayerPerceptronClassificationModel.load(self._path(max(epochs))) if epochs else None
+        return self.model
+
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
+        if self.state_dir is not None:
+            self.load(batch.sparkSession, epoch_id)
         weights = self.model.weights if self.model is not None else None
         self.model = mlp_fit(batch, self.n_classes, self.cols, self.label, max_iter=self.max_iter,
                              seed=self.seed, initial_weights=weights)
+        if self.state_dir is not None:
+            self.model.write().overwrite().save(self._path(epoch_id))
         self.batches += 1
 
 
 def train_on_stream(stream: DataFrame, trainer: IncrementalTrainer, checkpoint_location: str,
                     available_now: bool = True):
-    """Run ``trainer`` over every micro-batch of ``stream`` (the checkpoint holds offsets; weights live in ``trainer``)."""
+    """Run ``trainer`` over every micro-batch of ``stream``.
+
+    The checkpoint holds the offsets; weights are saved per epoch if the trainer has a ``state_dir``, else they
+    live in ``trainer`` only.
+    """
     writer = stream.writeStream.foreachBatch(trainer).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer
     q = writer.start()

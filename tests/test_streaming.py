@@ -40,3 +40,24 @@ def test_incremental_training_over_micro_batches(spark):
     trainer = IncrementalTrainer(3, cols=["a", "b"], max_iter_per_batch=10)
     train_on_stream(stream, trainer, tempfile.mkdtemp(prefix="postcred-train-ck-"))
     assert trainer.batches == 3 and trainer.model is not None
+
+
+def test_trainer_goes_on_after_restart_and_replays_alike(spark):
+    df = spark.range(90).select((F.col("id") % 3).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                (F.col("id") % 3).cast("int").alias("label"))
+    state = tempfile.mkdtemp(prefix="postcred-train-state-")
+
+    def new():
+        return IncrementalTrainer(3, cols=["a", "b"], max_iter_per_batch=5, state_dir=state)
+    first = new()
+    first(df, 0)
+    zero = list(first.model.weights)
+    first(df, 1)
+    one = list(first.model.weights)
+    assert one != zero
+    again = new()  # the stream replays epoch 1 after a restart: it starts from epoch 0, as before
+    again(df, 1)
+    assert list(again.model.weights) == one
+    assert list(new().load(spark).weights) == one
+    assert list(new().load(spark, before=1).weights) == zero
+    assert new().load(spark, before=0) is None
