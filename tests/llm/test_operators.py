@@ -12,7 +12,7 @@ from postcred.llm import packing, secrets, simhash, warc
 from postcred.llm.common import packed, span_hashes
 from postcred.llm.components import connected_components
 from postcred.llm.decontaminate import contained_items, drop_contaminated
-from postcred.llm.html import repeated_runs, shard_texts
+from postcred.llm.html import extract, repeated_runs, shard_texts
 from postcred.llm.lattice import prior, public_vocabulary
 from postcred.llm.lines import drop_repeated_lines
 from postcred.llm.quality import keep_good, quality_rows
@@ -169,6 +169,17 @@ def test_boilerplate_leaves_open_pages():
     assert shard_texts(pages, 6, 3) == [f"Story{k} tells of thing{k} and its kin{k}" for k in range(4)]
 
 
+def test_boilerplate_leaves_marked_pages(spark):
+    """A whole main block on most pages of the host goes; a line of a few pages and the pages of a host of copies stay."""
+    line, ask = "A line that some of the stories share", "Share this story with your friends now"
+    bodies = [f"<p>Story{k} tells at length of thing{k} and its kin{k}</p>" + (f"<p>{line}</p>" if k < 4 else "") for k in range(10)]
+    rows = [(k, f"http://a.b/{k}", f"<article>{b}<div class='prompt'>{ask}</div></article>") for k, b in enumerate(bodies)]
+    rows += [(20 + k, f"http://c.d/{k}", f"<article><p>One story that stands here in every copy</p><p>{k}</p></article>") for k in range(4)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: f"Story{k} tells at length of thing{k} and its kin{k}" + (f"\n\n{line}" if k < 4 else "") for k in range(10)}
+    assert got == want | {20 + k: f"One story that stands here in every copy\n\n{k}" for k in range(4)}
+
+
 def test_lattice_forward_equals_listing_all_segmentations():
     p = prior(public_vocabulary())
     words = ["the", "a", "été", "naïve", "😀x", "tokens"]
