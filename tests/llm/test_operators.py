@@ -180,6 +180,20 @@ def test_boilerplate_leaves_marked_pages(spark):
     assert got == want | {20 + k: f"One story that stands here in every copy\n\n{k}" for k in range(4)}
 
 
+def test_boilerplate_counts_over_the_host(spark):
+    """Open pages: the same texts for any shard size; near copies count once; the bound grows with the host's pages."""
+    story = "Story{0} tells of thing{0} and its kin{0} on day{0}"
+    notice, phrase = "Read our terms of use before you go on", "a phrase of six words here"
+    rows = [(k, f"http://a.b/{k}", f"<div>{notice}</div><p>{story.format(k)}</p>") for k in range(12)]
+    rows += [(100 + k, f"http://c.d/{k}", f"<p>{story.format(0)}</p><footer>{k}</footer>") for k in range(3)]
+    rows += [(1000 + k, f"http://e.f/{k}", f"<p>{story.format(k)}{' ' + phrase if k < 3 else ''}</p>") for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {k: story.format(k) for k in range(12)} | {100 + k: story.format(0) for k in range(3)}
+    want |= {1000 + k: story.format(k) + (" " + phrase if k < 3 else "") for k in range(400)}
+    for shard_bytes in (200, 4 << 20):
+        assert {r.page_id: r.text for r in extract(pages, shard_bytes=shard_bytes).collect()} == want
+
+
 def test_lattice_forward_equals_listing_all_segmentations():
     p = prior(public_vocabulary())
     words = ["the", "a", "été", "naïve", "😀x", "tokens"]
