@@ -6,7 +6,9 @@ the text, each keeps its largest response anywhere in the whole text, and a logi
 responses.  Training (Adam, full gradients through the max) runs on the driver over a bounded sample of labelled rows:
 the ``per_class`` rows of each class with the smallest hash among texts of at most ``max_words`` words.  One
 embedding dimension starts from the smoothed class log-odds of its bucket in that sample.  A held-back quarter
-of the sample calibrates the score (logistic scaling) and one threshold per language, which decides ``flagged``.
+of the sample calibrates the score (logistic scaling).  One threshold per language decides ``flagged``: the best F1 over the scores of
+all labels that may be learned from (the sample's among them), counted on Spark by language, hundredth of the score and class.  A
+language without both classes among them has the default.
 
 Scoring reads whole texts on the executors, in blocks of rows: look-ups, one product with all filters and one maximum
 per filter.  The score depends on the text alone; ``lang`` only chooses the
@@ -155,47 +157,57 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps
     return float(max(a, 0.05)), float(b)
 
 
-def language_thresholds(scores, labels, langs, weights, default: float = THRESHOLD) -> dict[str, float]:
-    """The best-F1 threshold of each language with both classes in the calibration rows."""
+def language_thresholds(counts, default: float = THRESHOLD) -> dict[str, int]:
+    """The best-F1 threshold, in hundredths, of each language with both classes among (lang, hundredth, toxic, n) rows."""
+    table: dict[str, np.ndarray] = {}
+    for lang, step, y, n in counts:
+        table.setdefault(lang, np.zeros((2, 101), np.int64))[int(y), step] += n
     out = {}
-    for lang in sorted({x for x in langs if x is not None}):
-        mine = np.array([x == lang for x in langs])
-        s, y, w = scores[mine], labels[mine], weights[mine]
-        if y.min(initial=1) == y.max(initial=0):
+    for lang, bins in table.items():
+        if not bins.sum(axis=1).all():
             continue
-        best = (0.0, 0.0, default)
-        for t in np.unique(np.append(np.round(s, 2), default)):
-            hit = s >= t
-            f = 2 * (w * hit * y).sum() / max((w * hit).sum() + (w * y).sum(), 1e-9)
-            best = max(best, (f, -abs(t - default), t))  # among equals the one nearest to the default
-        out[lang] = float(best[2])
+        above = bins[:, ::-1].cumsum(axis=1)[:, ::-1]  # rows of each class at or over a threshold
+        f1 = 2 * above[1] / (above.sum(axis=0) + bins[1].sum())
+        start = round(100 * default)
+        out[lang] = max(range(101), key=lambda k: (f1[k], -abs(k - start), k))  # among equals the one nearest to the default
     return out
 
 
+def allowed_labels(labels: DataFrame, trains: Column) -> DataFrame:
+    """(l_id, toxic): one row per document whose label may be learned from."""
+    marked = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return marked.where(F.col("doc_id").isNotNull() & trains).withColumnRenamed("doc_id", "l_id")
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int, max_words: int) -> list:
-    """(bucket array, label, lang, class size) of the sample; at most 2 * per_class rows of at most max_words words."""
-    marked = (labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-              .where(F.col("doc_id").isNotNull() & trains).withColumnRenamed("doc_id", "l_id"))
+    """(bucket array, label, class size) of the sample; at most 2 * per_class rows of at most max_words words."""
+    marked = allowed_labels(labels, trains)
     n = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     marked = marked.withColumn("key", F.xxhash64("l_id"))
     fit = (F.length(F.coalesce("text", F.lit(""))) <= 16 * max_words)
-    picks = docs.where(fit).join(marked, F.col("doc_id") == F.col("l_id"))
+    docs = docs.where(fit)
+    allowed = docs.select("doc_id").join(marked, F.col("doc_id") == F.col("l_id")).select("l_id", "key", "toxic")
     rows = []
     for y in sorted(n):
-        some = picks.where(F.col("toxic") == y).select("key", "text", "lang").orderBy("key").limit(per_class).collect()
+        # The rows are chosen without their texts, so no join moves the texts.
+        chosen = {(r["l_id"], r["key"]) for r in allowed.where(F.col("toxic") == y).orderBy("key").limit(per_class).collect()}
+        if not chosen:
+            continue
+        chosen = docs.sparkSession.createDataFrame(sorted(chosen), marked.select("l_id", "key").schema)  # at most per_class rows
+        some = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("key", "text").orderBy("key").limit(per_class).collect()
         for r in some:
             data, offs = utf8(pa.array([r["text"]], pa.string()))
             ids, _ = word_buckets(data, offs)
             if len(ids) <= max_words:
-                rows.append((ids, int(y), r["lang"], n[y]))
+                rows.append((ids, int(y), n[y]))
     return rows
 
 
-def fit(rows: list) -> tuple[TextCnn | float, dict[str, float]]:
-    """Model and thresholds from sample rows; a constant if one class is missing."""
+def fit(rows: list) -> TextCnn | float:
+    """Model from sample rows; a constant if one class is missing."""
     y = np.array([r[1] for r in rows], int)
     if len(set(y.tolist())) < 2:
-        return (float(y.sum()) + 0.5) / (len(y) + 1), {}
+        return (float(y.sum()) + 0.5) / (len(y) + 1)
     held = np.zeros(len(y), bool)
     for c in (0, 1):
         held[np.flatnonzero(y == c)[::4]] = (y == c).sum() >= 8
@@ -204,10 +216,10 @@ def fit(rows: list) -> tuple[TextCnn | float, dict[str, float]]:
     ids = np.concatenate([rows[i][0] for i in check])
     first = np.concatenate([[0], np.cumsum([len(rows[i][0]) for i in check])])
     logits = model.logits(ids, first).astype(float)
-    weights = np.array([rows[i][3] / max(1, (y[check] == y[i]).sum()) for i in check])
+    weights = np.array([rows[i][2] / max(1, (y[check] == y[i]).sum()) for i in check])
     weights *= len(check) / weights.sum()
     model.scale = calibrate(logits, y[check], weights)
-    return model, language_thresholds(sigmoid(model.scale[0] * logits + model.scale[1]), y[check], [rows[i][2] for i in check], weights)
+    return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = 1500, max_words: int = 4096) -> DataFrame:
@@ -216,7 +228,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, per_class
     ``labels`` has doc_id and toxic (0 or 1); ``trains`` says, over doc_id, which labels may be learned from.
     """
     spark = docs.sparkSession
-    model, limits = fit(training_sample(docs, labels, trains, per_class, max_words))
+    model = fit(training_sample(docs, labels, trains, per_class, max_words))
     shared = spark.sparkContext.broadcast(model)  # the table has a fixed size
 
     def run(batches):
@@ -230,11 +242,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, per_class
                     s = m.scores(*word_buckets(data, offs[lo:hi + 1]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(s, pa.float64())],
                                                  ["doc_id", "lang", "score"])
-    scored = docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, score double")
-    limit = F.lit(THRESHOLD)
+    # Stored, so each text is scored once: for the thresholds and for the result.
+    scored = stored(docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, score double"), "toxicity-scores")
+    step = F.floor(F.col("score") * 100).cast("int")
+    known = scored.where(F.col("lang").isNotNull()).join(allowed_labels(labels, trains), F.col("doc_id") == F.col("l_id"))
+    limits = language_thresholds(known.groupBy("lang", step, "toxic").count().collect())  # at most 202 rows per language
+    limit = F.lit(round(100 * THRESHOLD))
     for lang, t in limits.items():
         limit = F.when(F.col("lang") == lang, t).otherwise(limit)
-    return scored.select("doc_id", "score", (F.col("score") >= limit).alias("flagged"))
+    return scored.select("doc_id", "score", (step >= limit).alias("flagged"))
 
 
 def op10_toxicity(spark, sf_dir):
@@ -243,4 +259,4 @@ def op10_toxicity(spark, sf_dir):
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     out = score_toxicity(docs, labels, fold != 2)
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score",
-                      F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
+                      F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"), "flagged")

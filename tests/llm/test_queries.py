@@ -144,6 +144,23 @@ def test_op10_held_out_accuracy(spark):
     assert auc >= 0.9
 
 
+def test_op10_thresholds_from_all_labels(spark):
+    """Flagged at sf0.01: per language the best F1 over every label outside the held-out fold, by listing all thresholds."""
+    sf = "/root/testdata/sf0.01"
+    toxic, lang = dict(rows_of(spark, sf, "labels", "doc_id", "toxic")), dict(rows_of(spark, sf, "documents", "doc_id", "lang"))
+    rows = QUERIES["op10_toxicity"](spark, sf).collect()
+    both = 0
+    for code in set(lang.values()):
+        mine = [(int(r.score * 100), toxic[r.doc_id]) for r in rows if lang[r.doc_id] == code and not r.held_out and toxic.get(r.doc_id) is not None]
+        limit = 30
+        if len({y for _, y in mine}) == 2:
+            both += 1
+            f1 = {t: 2 * sum(y for s, y in mine if s >= t) / (sum(s >= t for s, _ in mine) + sum(y for _, y in mine)) for t in range(101)}
+            limit = max(f1, key=lambda t: (f1[t], -abs(t - 30), t))
+        assert all(r.flagged == (int(r.score * 100) >= limit) for r in rows if lang[r.doc_id] == code)
+    assert both > 1
+
+
 def test_op10_odd_rows(spark, odd, odd_docs):
     rows = QUERIES["op10_toxicity"](spark, odd).collect()
     assert len(rows) == len(odd_docs) and all(0 <= r.score <= 1 for r in rows)
