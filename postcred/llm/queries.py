@@ -12,7 +12,9 @@ from postcred.llm.secrets import op7_secret_scans
 from postcred.llm.simhash import op2_simhash_near_dedup
 from postcred.llm.toxicity import op10_toxicity
 from postcred.llm.warc import OP3_SQL, op3_warc
+from postcred.llm.whitening import op12_embedding_whitening
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dedup, op3_warc, op4_decontaminate, op5_line_dedup,
-                                   op6_quality_rules, op7_secret_scans, op8_lm_scoring, op9_packing, op10_toxicity)}
+                                   op6_quality_rules, op7_secret_scans, op8_lm_scoring, op9_packing, op10_toxicity,
+                                   op12_embedding_whitening)}
 SQL = {"op3_warc": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_line_dedup": OP5_SQL}
