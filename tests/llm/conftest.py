@@ -34,6 +34,8 @@ def odd(spark, odd_docs, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     labels = [(i, 1, i % 2) for i, _ in odd_docs]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, [0.5, 1.0], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     return d
 
 
@@ -41,6 +43,6 @@ def odd(spark, odd_docs, tmp_path_factory):
 def no_rows(spark, odd, tmp_path_factory):
     """The same tables without rows."""
     d = str(tmp_path_factory.mktemp("none"))
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings", "conversations"):
         spark.read.parquet(f"{odd}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d

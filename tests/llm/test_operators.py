@@ -1,6 +1,7 @@
 """Operators on their general interface: clashing columns, repeated rows, null ids, hot cells, ledgers, merges, plans, stages."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -131,18 +132,92 @@ def test_capture_history_is_globally_ordered(spark, odd, tmp_path):
     assert keys == sorted(keys) and len(rows) == pages.count()
 
 
-@pytest.mark.parametrize("top,n", [(64, 3000), (256, 100_000)])
-def test_cutting_stock_covers_the_demand(top, n):
+@pytest.fixture
+def two_minutes():
+    """Fails a test that hangs in a library call, where an ordinary signal handler would never run."""
+    import faulthandler
+    faulthandler.dump_traceback_later(120, exit=True)
+    yield
+    faulthandler.cancel_dump_traceback_later()
+
+
+@pytest.mark.parametrize("top,n", [(64, 3000), (256, 100_000), (1024, 30_000)])
+def test_cutting_stock_covers_the_demand(spark, two_minutes, top, n):
+    """In a process that has a session and has run a job: the linear program must not wait for another library's threads."""
+    assert spark.range(5).mapInArrow(lambda it: it, "id long").count() == 5
     demand = np.bincount(np.random.default_rng(2).integers(1, top + 1, n), minlength=top + 1)
-    used = np.zeros(top + 1, np.int64)
-    sequences = 0
-    for p, times in packing.solve(demand, top):
-        assert sum(x * k for x, k in p.items()) <= top
-        sequences += times
+    plan = packing.solve(demand, top)
+    assert all(sum(x * k for x, k in p.items()) <= top for p, _ in plan)
+    size, total = np.arange(top + 1), (np.arange(top + 1) * demand).sum()
+    placed = sum(sum(x * k for x, k in p.items()) * t for p, t in plan)
+    assert sum(t for _, t in plan) * top <= (1.02 if n > 100 * top else 1.05) * placed + top  # the patterns themselves leave little open
+    kept, left = packing.open_up(plan, demand, top)
+    used = left.copy()
+    for p, times in kept:
         for x, k in p.items():
             used[x] += k * times
-    assert (used == demand).all()
-    assert sequences <= 1.02 * (np.arange(top + 1) * demand).sum() / top + 2
+    assert (used == demand).all() and (left >= 0).all()
+    line = packing.gaps(kept, left, top)
+    assert [g[0] for g in line] == [0, *[g[1] for g in line[:-1]]][:len(line)] and (line[-1][1] if line else 0) == (size * left).sum()
+    last = max([sum(t for _, t in kept), *[g[3] + (g[1] - g[0]) // g[2] for g in line]])
+    assert last <= -(-total // top) + 1
+
+
+@pytest.mark.parametrize("pieces", [{600: 50}, {1024: 3}, {1: 1}, {512: 1, 256: 1}, {1000: 7, 24: 2}, {}, {700: 1, 800: 1, 5: 400}])
+def test_left_over_pieces_fill_what_patterns_leave_open(pieces):
+    demand = np.zeros(1025, np.int64)
+    for x, n in pieces.items():
+        demand[x] = n
+    kept, left = packing.open_up(packing.solve(demand, 1024), demand, 1024)
+    total = sum(x * n for x, n in pieces.items())
+    fill: dict[int, int] = {}
+    at = 0
+    for p, times in kept:
+        for _ in range(times):
+            fill[at] = sum(x * k for x, k in p.items())
+            at += 1
+    for lo, hi, room, sequence, offset in packing.gaps(kept, left, 1024):
+        for i in range((hi - lo) // room):
+            assert fill.get(sequence + i, 0) == offset
+            fill[sequence + i] = offset + room
+    assert sum(fill.values()) == total and len(fill) <= -(-total // 1024) + 1
+    assert sum(1024 - n for n in fill.values() if n & (n - 1)) < 1024
+
+
+def test_long_runs_go_to_the_named_tokenizer(two_minutes):
+    from tokenizers import Tokenizer
+    names = packing.public_tokenizer()
+    ids_of, plain = packing.TokenBytes(*names), Tokenizer.from_file(names[0])
+    for text in (" " * 1_000_000 + "x", "\n" * 300_000, "a" * 300_000, "b " * 200_000, "x" + " " * 999 + "y", "<|endoftext|> a", "\u3000" * 5000 + "."):
+        assert ids_of(text) == np.asarray(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_pack_odd_rows(spark, two_minutes):
+    """Repeated rows, null and equal ids, clashing columns, a text of blanks: every id lies in one piece, sequences are full."""
+    from tokenizers import Tokenizer
+    names = packing.public_tokenizer()
+    tok = Tokenizer.from_file(names[0])
+    rng = random.Random(5)
+    rows = [(1, "same text " * 300)] * 9 + [(None, "no id " * 100)] * 3 + [(2, None), (2, ""), (3, " " * 200_000 + "x"), (4, "w" * 60_000)]
+    rows += [(i, "word " * rng.randint(1, 900)) for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as start", "2 as length", "3 as rank", "4 as p", "5 as room", "6 as id", "7 as rk")
+    got = packing.pack(df, *names).collect()
+    sequences: dict = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 1024
+    want, have = {}, {}
+    for d, t in rows:
+        ids = np.asarray([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want[d] = want.get(d, 0) + len(ids)
+        for r in got:
+            if r.doc_id == d and r.doc_tokens == len(ids) and r.start + r.length <= len(ids):
+                have.setdefault((d, len(ids)), set()).add((r.start, r.length, r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())))
+    assert all(ok for k, v in have.items() if k != (2, 1) for _, _, ok in v)
+    assert {d: sum(r.length for r in got if r.doc_id == d) for d in want} == want
+    assert len(sequences) <= -(-sum(want.values()) // 1024) + 1
 
 
 def test_repeated_runs_against_plain_search():

@@ -20,7 +20,7 @@ def data(request):
     return request.getfixturevalue(request.param)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op13_chat_formatting"}))  # that one always holds its probe
 def test_empty_tables(spark, no_rows, name):
     assert QUERIES[name](spark, no_rows).collect() == []
 
@@ -115,11 +115,10 @@ def test_op9_round_trip(spark, data):
             assert offset == at
             at += length
         assert 0 < at <= 1024
-    lengths = [n for parts in sequences.values() for _, n in parts]
-    # Two pieces of over half a sequence never share one, so no plan for these pieces has fewer sequences than this.
-    least = max(-(-sum(lengths) // 1024), sum(n > 512 for n in lengths))
-    if len(sequences) > 1.02 * least + 2:  # open: see the README's known limits
-        pytest.xfail(f"{len(sequences)} sequences where {least} is the bound")
+    total = sum(n for parts in sequences.values() for _, n in parts)
+    sizes = [sum(n for _, n in parts) for parts in sequences.values()]
+    assert len(sequences) <= -(-total // 1024) + 1
+    assert sum(1024 - n for n in sizes if n & (n - 1)) < 1024  # one sequence at most is padded
 
 
 def test_op10_learns_from_its_folds_only(spark, sf_small, tmp_path):
