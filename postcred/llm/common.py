@@ -52,7 +52,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs
 
 
-def row_blocks(offs: np.ndarray, max_bytes: int = 2 << 20):
+def row_blocks(offs: np.ndarray, max_bytes: int = 1 << 20):
     """Row ranges of at most ``max_bytes`` of text each (a longer text is a block of its own)."""
     lo, n = 0, len(offs) - 1
     while lo < n:
@@ -106,6 +106,15 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+def count_rows(df: DataFrame) -> int:
+    return df.agg(F.count(F.lit(1))).first()[0]
+
+
+def sent(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A written table of keys, marked for broadcast if it has at most ``max_rows`` rows; a larger one is joined by shuffles."""
+    return F.broadcast(df) if count_rows(df) <= max_rows else df
+
+
 def text_bytes(df: DataFrame, col: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(col))).first()[0] or 0
 

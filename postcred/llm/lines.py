@@ -73,13 +73,15 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         min_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
     """``docs`` with the repeated lines gone from ``text_col``, plus ``n_lines`` and ``n_dropped``."""
     base = packed(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    pairs = line_pairs(base, min_chars)
+    pairs = stored(line_pairs(base, min_chars), "line-pairs")
     index = stored(key_index(pairs, batches, fanout).where(F.col("n_docs") >= min_docs), "line-drops")
     # Both sides are shuffled on the key, so adaptive execution can split a line that a third of the documents hold.
     gone = (pairs.join(index, H).where(~F.col("id").eqNullSafe(F.col("keeper")))
             .groupBy("id", "rk").agg(F.collect_set("pos").alias("gone")))
-    gone = gone.select(F.col("id").alias("g_id"), F.col("rk").alias("g_rk"), "gone")
-    cut = base.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("rk") == F.col("g_rk")), "left")
+    # Written, so that its size is known: the texts are only moved to meet it where it is too large to be sent to them.
+    gone = stored(gone.select(F.col("id").alias("g_id"), F.col("rk").alias("g_rk"), "gone"), "line-gone")
+    n_gone = gone.agg(F.coalesce(F.sum(F.size("gone") + 2), F.lit(0))).first()[0]
+    cut = base.join(F.broadcast(gone) if n_gone <= 2_000_000 else gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("rk") == F.col("g_rk")), "left")
     cut = cut.withColumn("lines", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = cut.withColumn("left", left).withColumn(

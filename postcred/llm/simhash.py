@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postcred.llm.common import packed, stored, unpacked, utf8
+from postcred.llm.common import packed, sent, stored, unpacked, utf8
 from postcred.llm.components import connected_components
 
 SEED = 42
@@ -57,9 +57,7 @@ def fingerprints(base: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offs = utf8(b.column(2))
-            raw = data.tobytes()
-            fp = np.fromiter((fingerprint(raw[offs[i]:offs[i + 1]], shingle) for i in range(len(offs) - 1)),
-                             np.uint64, len(offs) - 1)
+            fp = np.fromiter((fingerprint(data[lo:hi].tobytes(), shingle) for lo, hi in zip(offs[:-1], offs[1:])), np.uint64, len(offs) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "rk", "fp"])
     return base.select("id", "rk", "text").mapInArrow(run, "id long, rk long, fp long")
 
@@ -190,17 +188,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row per group of near duplicates: smallest id first, then smallest text hash."""
+    """``docs`` with one row per group of near duplicates: smallest id first, then smallest text hash.
+
+    The rows that go are found without their texts and left out by their keys, so the texts that stay need not be moved.
+    """
     found = stored(near_duplicates(docs, id_col, text_col, **options), "simhash-found")
-    rank = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("rk"))
-    group = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
-    best = stored(found.groupBy("component_id", group.alias("g")).agg(F.min(rank).alias("best"))
-                  .select(F.col("best.id").alias("k_id"), F.col("best.rk").alias("k_rk")), "simhash-best")
+    found = found.select(F.col(id_col).alias("id"), "rk", "component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("g"))
+    rank = F.struct(F.col("id").isNull().alias("n"), "id", "rk")
+    best = found.groupBy("component_id", "g").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    best = best.select(F.col("component_id").alias("b_component"), F.col("g").alias("b_g"), F.col("best.id").alias("b_id"), F.col("best.rk").alias("b_rk"))
+    in_group = found.join(best, F.col("component_id").eqNullSafe(F.col("b_component")) & F.col("g").eqNullSafe(F.col("b_g")))
+    is_best = F.col("id").eqNullSafe(F.col("b_id")) & (F.col("rk") == F.col("b_rk"))
+    names = stored(in_group.groupBy(F.col("id").alias("x_id"), F.col("rk").alias("x_rk")).agg(
+        F.max(is_best).alias("stays"), F.count(F.lit(1)).alias("rows")), "simhash-names")
+    gone = sent(names.where("not stays").select("x_id", "x_rk"))
+    again = sent(names.where("stays and rows > 1").select("x_id", "x_rk"))  # repeated rows: one of each stays
     base = packed(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    kept = base.join(best, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("rk") == F.col("k_rk")), "left_semi")
-    rows = found.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.struct(id_col, "rk")).alias("d")).first()
-    if rows["n"] != rows["d"]:  # repeated rows: one of each stays
-        kept = kept.dropDuplicates(["id", "rk"])
+    same = F.col("id").eqNullSafe(F.col("x_id")) & (F.col("rk") == F.col("x_rk"))
+    kept = base.join(gone, same, "left_anti")
+    if again.head(1):
+        kept = kept.join(again, same, "left_anti").unionByName(base.join(again, same, "left_semi").dropDuplicates(["id", "rk"]))
     return unpacked(kept, docs.columns)
 
 

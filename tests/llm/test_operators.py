@@ -13,7 +13,7 @@ from postcred.llm import packing, secrets, simhash, warc
 from postcred.llm.common import packed, span_hashes
 from postcred.llm.components import connected_components
 from postcred.llm.decontaminate import contained_items, drop_contaminated
-from postcred.llm.html import extract, repeated_runs, shard_texts
+from postcred.llm.html import blocks_of, extract, repeated_runs, shard_texts
 from postcred.llm.lattice import prior, public_vocabulary
 from postcred.llm.lines import drop_repeated_lines
 from postcred.llm.quality import keep_good, quality_rows
@@ -118,6 +118,43 @@ def test_ledger_scans_only_what_is_new(spark, odd_docs, tmp_path):
     assert more == fresh
 
 
+def test_rule_versions(spark, tmp_path):
+    """A raised, a removed and a returning rule: always what a fresh scan with those rules finds, and only new pairs are scanned."""
+    import re
+    path = str(tmp_path / "ledger")
+    rows = [(1, "x " + "0f" * 20 + " y"), (2, "AKIA" + "Q" * 16 + " " + "ab" * 40), (2, "AKIA" + "Q" * 16 + " " + "ab" * 40), (None, "0f" * 20), (None, None),
+            (3, "x " + "0f" * 20 + " y"), (4, "token=abcdefghij")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as blob", "2 as id", "3 as spans", "4 as todo")
+    old = secrets.RULES
+    raised = tuple((k, 2, re.compile(r"[0-9a-f]{64,}"), g, 64, m) if k == "hex" else (k, v, p, g, n, m) for k, v, p, g, n, m in old)
+    removed = tuple(r for r in old if r[0] != "hex")
+
+    def found(rules, ledger=None):
+        return sorted(((r.doc_id, r.blob, [tuple(s) for s in r.spans]) for r in secrets.find_secrets(docs, ledger_path=ledger, rules=rules).collect()), key=repr)
+
+    sizes = []
+    for rules in (old, raised, removed, old, raised):
+        assert found(rules, path) == found(rules)
+        sizes.append(spark.read.parquet(path).count())
+    blobs = len({t or "" for _, t in rows})
+    assert sizes == [blobs, 2 * blobs, 2 * blobs, 2 * blobs, 2 * blobs]  # the raised rule alone was new
+    assert [s for _, _, s in found(raised, path) if s and s[0][0] == "hex"] == [] and len(found(old, path)) == len(rows)
+
+
+def test_tags_are_read_by_position():
+    cases = {"<p>one <a title=it's>two</a> three</p><p>don't stop</p><p>four</p>": ["one two three", "don't stop", "four"],
+             "<p a=\"x>y\" b='>' c=d\"e>t</p>": ["t"], "<p =x>t</p>": ["t"], "<p title='open>rest": [],
+             "<div title='class=ad'>kept</div><div hidden>no</div><div style='display : none'>no</div>v": ["kept", "v"],
+             "<article><p>a</p><div class='social-history'>b</div><div class=\"comment-list\">c</div><div class=share-buttons>d</div></article>": ["a", "b"]}
+    for page, want in cases.items():
+        assert [t for place, t in blocks_of(page) if place != "out"] == want
+
+
+def test_tags_do_not_backtrack(two_minutes):
+    for page in ("<a " + "x='" * 100_000, "<p " + "= " * 100_000, "<" * 100_000, "<a " * 100_000, "<p " + "a=b" * 300_000):
+        blocks_of(page)
+
+
 def test_loser_tree_merges():
     rng = random.Random(1)
     for k in (1, 2, 3, 5, 8, 13):
