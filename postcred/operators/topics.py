@@ -1,86 +1,293 @@
 """Topic features.
 
-F5/F6 fit Spark ML's online LDA on the cleaned stored text and read per-post topic mixtures.
-F7 turns a topic model into a word -> weight table, F8 sums word weights over a post's tokens.
+F5 is variational Bayes over the cleaned stored text with the word-topic counts in a table, one row of ``k`` counts per
+term; nothing that grows with the vocabulary or the posts passes the driver, which holds ``k`` totals only.  Posts
+are dealt into blocks, blocks into chunks, and a pass visits every chunk once, so each post counts exactly once a pass.
+For a chunk, the rows of the terms that its blocks hold are joined to the blocks, every post's mixture is solved inside
+its block, and the expected counts are summed by term (map-side first: a term that every post holds is one
+row per task) and blended into the table.
+
+F6 reads the posts' mixtures, F7 turns the model into a word -> weight table, F8 sums word weights over a post's tokens.
 F7/F8 take plain tables (``doc_topics``: key, topic_id, prob; ``topic_terms``: topic_id, term,
 weight; ``vocabulary``: term, term_index), so they work on a fitted model or on given tables.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDA, LocalLDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postcred.operators.joins import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast
 from postcred.schemas import KEY
+from postcred.session import scratch_dir
 
 # Topic count of the reference's LDA call (library default).
 DEFAULT_TOPICS = 100
+#: Most inner steps of a post's mixture, and the mean change of its topic counts below which it is settled.
+INNER_STEPS, INNER_TOLERANCE = 50, 1e-3
+#: (post, term) pairs of a block, and of the rows worked on at once inside it.
+BLOCK_PAIRS, WORK_PAIRS = 200_000, 20_000
+
+
+@dataclass
+class TopicModel:
+    """``words``: (term, n, lam array<double>) with the word-topic counts; ``totals``: their sums per topic."""
+    words: DataFrame
+    totals: list[float]
+    k: int
+    alpha: float
+    eta: float
+    bounds: list[float]  # mean log-likelihood per token seen in each pass, before the pass's own update of a chunk
+
+    def save(self, path: str) -> None:
+        self.words.write.mode("overwrite").parquet(f"{path}/words")
+        spark = self.words.sparkSession
+        head = json.dumps({"totals": self.totals, "k": self.k, "alpha": self.alpha, "eta": self.eta, "bounds": self.bounds})
+        spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "TopicModel":
+        head = json.loads(spark.read.text(f"{path}/model").first()["value"])
+        return TopicModel(spark.read.parquet(f"{path}/words"), head["totals"], head["k"], head["alpha"], head["eta"], head["bounds"])
+
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of log gamma for positive numbers: upward recurrence to 6, then the asymptotic series."""
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        if not low.any():
+            break
+        out[low] -= 1 / x[low]
+        x[low] += 1
+    r = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r * (1 / 132)))))
 
-def fit_topics(tokens_df: DataFrame, tokens: str = "tokens", k: int = DEFAULT_TOPICS,
-               passes: int = 1, chunk_size: int = 10_000, seed: int = 7,
-               vocab_size: int | None = None, min_df: float = 1.0):
-    """online LDA over the bag of words of every post, in chunks of ``chunk_size``.
 
-    Returns ``(count_vectorizer_model, lda_model)``.  The vocabulary holds every distinct token unless
-    ``vocab_size`` bounds it.  Mini-batch fraction and iteration count are set so that the optimiser
-    draws ``passes`` times as many posts as there are; it draws with replacement, so one pass does not see each post.
+def solve_mixtures(post: np.ndarray, beta: np.ndarray, n: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Topic counts (gamma) of each post, and of each (post, term) pair the log of its probability.
+
+    ``post`` (0, 1, .. without gaps, rising) and ``n`` describe the pairs; ``beta`` has their terms' rows exp E[log phi].  Each post stops
+    by its own change, so the result does not depend on which posts are solved together.
     """
-    if vocab_size is None:
-        vocab_size = max(1, tokens_df.select(F.explode(tokens).alias("t")).distinct().count())
-    cv = CountVectorizer(inputCol=tokens, outputCol="_bow", vocabSize=vocab_size, minDF=min_df)
-    cv_model = cv.fit(tokens_df)
-    bow = cv_model.transform(tokens_df.select(tokens))
-    # every input partition of the online optimiser emits a dense topics x vocabulary statistics
-    # matrix per mini-batch; more partitions than task slots only add to that aggregation
-    slots = tokens_df.sparkSession.sparkContext.defaultParallelism
-    if bow.rdd.getNumPartitions() > slots:
-        bow = bow.coalesce(slots)
-    n_docs = tokens_df.count()
-    frac = min(1.0, chunk_size / max(n_docs, 1))
-    iters = max(1, int(math.ceil(passes / frac)))
-    lda = LDA(k=k, maxIter=iters, optimizer="online", subsamplingRate=frac, seed=seed,
-              featuresCol="_bow", learningOffset=1.0, learningDecay=0.5,
-              optimizeDocConcentration=True)
-    return cv_model, lda.fit(bow)
-
-
-def topic_distribution(cv_model: CountVectorizerModel, lda_model: LocalLDAModel, tokens_df: DataFrame,
-                       tokens: str = "tokens", key: Sequence[str] = KEY) -> DataFrame:
+    n_posts, k = int(post[-1]) + 1 if len(post) else 0, beta.shape[1]
+    gamma = np.ones((n_posts, k))
+    first = np.searchsorted(post, np.arange(n_posts))
+    size = np.diff(np.append(first, len(post)))
+    live = np.arange(n_posts)
+    theta = np.empty((n_posts, k))
+    for step in range(INNER_STEPS + 1):
+        theta[live] = np.exp(digamma(gamma[live]) - digamma(gamma[live].sum(axis=1))[:, None])
+        if step == INNER_STEPS or not len(live):
+            break
+        at = np.repeat(first[live], size[live]) + np.arange(size[live].sum()) - np.repeat(np.cumsum(size[live]) - size[live], size[live])
+        b, who = beta[at], np.repeat(np.arange(len(live)), size[live])
+        norm = (theta[live][who] * b).sum(axis=1) + 1e-100
+        sums = np.add.reduceat(b * (n[at] / norm)[:, None], np.cumsum(size[live]) - size[live], axis=0)
+        new = alpha + theta[live] * sums
+        moved = np.abs(new - gamma[live]).mean(axis=1)
+        gamma[live] = new
+        done = moved < INNER_TOLERANCE
+        theta[live[done]] = np.exp(digamma(new[done]) - digamma(new[done].sum(axis=1))[:, None])
+        live = live[~done]
+    return gamma, theta
+
+
+def _ranges(post: np.ndarray):
+    """Ranges of whole posts of about ``WORK_PAIRS`` pairs."""
+    lo = 0
+    while lo < len(post):
+        hi = min(len(post), lo + WORK_PAIRS)
+        if hi < len(post):
+            back = int(np.searchsorted(post, post[hi]))
+            hi = back if back > lo else int(np.searchsorted(post, post[hi], side="right"))
+        yield lo, hi
+        lo = hi
+
+
+def _block(left: pa.Table, right: pa.Table, totals: np.ndarray):
+    """(pair arrays in post order, distinct posts, terms, their rows of exp E[log phi]) of a block."""
+    left = left.sort_by([("post", "ascending"), ("term", "ascending")])
+    terms = right.column("word").combine_chunks()
+    lam = right.column("lam").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(terms), -1)
+    beta = np.exp(digamma(lam) - digamma(totals))
+    at = pc.index_in(left.column("term").combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False)
+    ids = left.column("post").to_numpy()
+    post = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]])) if len(ids) else ids
+    return left, post.astype(np.int64), at.astype(np.int64), left.column("n").to_numpy().astype(float), terms, lam, beta
+
+
+def _expected_counts(k: int, alpha: float, totals: np.ndarray):
+    """Of a block: (term, v) expected topic counts of each term, and one row (null, [log-likelihood, tokens, ..])."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, post, at, n, terms, lam, beta = _block(left, right, totals)
+        share = lam / totals
+        out, score, tokens = np.zeros((len(terms), k)), 0.0, 0.0
+        for lo, hi in _ranges(post):
+            p = post[lo:hi] - post[lo]
+            gamma, theta = solve_mixtures(p, beta[at[lo:hi]], n[lo:hi], alpha)
+            t, b = theta[p], at[lo:hi]
+            norm = (t * beta[b]).sum(axis=1) + 1e-100
+            order = np.argsort(b, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], b[order][1:] != b[order][:-1]]))
+            out[b[order][starts]] += np.add.reduceat((t * (n[lo:hi] / norm)[:, None])[order], starts, axis=0)
+            mix = gamma / gamma.sum(axis=1)[:, None]
+            score += float((n[lo:hi] * np.log((mix[p] * share[b]).sum(axis=1) + 1e-100)).sum())
+            tokens += float(n[lo:hi].sum())
+        values = np.vstack([out * beta, [[score, tokens] + [0.0] * (k - 2)] if k > 1 else [[score]]])
+        names = pa.chunked_array([terms.cast(pa.string()), pa.array([None], pa.string())]).combine_chunks()
+        return pa.table({"term": names, "v": pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), k).cast(pa.list_(pa.float64()))})
+    return run
+
+
+def _mixtures(alpha: float, totals: np.ndarray):
+    """Of a block: (post, theta)."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, post, at, n, _, _, beta = _block(left, right, totals)
+        ids, k = left.column("post").to_numpy(), beta.shape[1] if len(beta) else len(totals)
+        out, names = [], []
+        for lo, hi in _ranges(post):
+            gamma, _ = solve_mixtures(post[lo:hi] - post[lo], beta[at[lo:hi]], n[lo:hi], alpha)
+            out.append(gamma / gamma.sum(axis=1)[:, None])
+            names.append(ids[lo:hi][np.concatenate([[True], post[lo:hi][1:] != post[lo:hi][:-1]])])
+        theta = np.concatenate(out) if out else np.empty((0, k))
+        return pa.table({"post": pa.array(np.concatenate(names) if names else np.empty(0, np.int64)),
+                         "theta": pa.FixedSizeListArray.from_arrays(pa.array(theta.ravel()), k).cast(pa.list_(pa.float64()))})
+    return run
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def start_counts(term: Column, k: int, seed: int) -> Column:
+    """Topic counts to begin with: around one, spread by a hash of the term (about 0.1), so runs repeat."""
+    def one(i: Column) -> Column:
+        parts = [(F.xxhash64(term, i, F.lit(seed), F.lit(j)).bitwiseAND(0xFFFFFF) / F.lit(float(1 << 24))) for j in range(3)]
+        return F.lit(1.0) + F.lit(0.2) * (parts[0] + parts[1] + parts[2] - F.lit(1.5))
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), one)
+
+
+def _bags(tokens_df: DataFrame, tokens: str, vocabulary: DataFrame | None, n_blocks: int) -> DataFrame:
+    """(block, post, term, n): bags of words; ``post`` numbers the rows of ``tokens_df`` (a column of that name is used as it is)."""
+    rows = tokens_df.select("post", F.explode(tokens).alias("term")).groupBy("post", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    if vocabulary is not None:
+        rows = rows.join(vocabulary.select("term"), "term", "left_semi")
+    return rows.select(F.pmod(F.xxhash64("post"), F.lit(n_blocks)).cast("int").alias("block"), "post", "term", "n")
+
+
+def fit_topics(tokens_df: DataFrame, tokens: str = "tokens", k: int = DEFAULT_TOPICS, passes: int = 1, chunk_size: int = 10_000,
+               seed: int = 7, vocab_size: int | None = None, min_df: float = 1.0, offset: float = 1.0, decay: float = 0.5) -> TopicModel:
+    """topics of the bags of words of every post, in chunks of about ``chunk_size`` posts, each post once a pass.
+
+    The vocabulary holds every distinct token unless ``vocab_size`` keeps the most frequent ones or ``min_df`` asks for more posts.  Step ``t``
+    blends a chunk's expected counts, scaled to all posts, into the table with weight ``(offset + t) ** -decay``; a corpus of one
+    chunk is replaced whole, which is the batch algorithm.  Posts without a known token change nothing.  An empty corpus gives an empty table.
+    """
+    numbered = _written(tokens_df.select(F.monotonically_increasing_id().alias("post"), F.col(tokens).alias("toks")), "topic-posts")
+    counted = numbered.select(F.explode("toks").alias("term"), "post").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("post").alias("df")) \
+        if min_df > 1 else numbered.select(F.explode("toks").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    if min_df > 1:
+        counted = counted.where(F.col("df") >= min_df).drop("df")
+    if vocab_size is not None:
+        counted = counted.orderBy(F.desc("n"), "term").limit(vocab_size)
+    words = _written(counted.select("term", "n", start_counts(F.col("term"), k, seed).alias("lam")), "topic-words")
+    n_posts = numbered.agg(F.count(F.lit(1))).first()[0]
+    chunks = max(1, math.ceil(n_posts / chunk_size))
+    n_tokens = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_blocks = chunks * max(1, math.ceil(n_tokens / BLOCK_PAIRS / chunks))
+    known = words if vocab_size is not None or min_df > 1 else None
+    bags = _written(_bags(numbered.withColumnRenamed("toks", "tokens"), "tokens", known, n_blocks), "topic-bags")
+    alpha = eta = 1.0 / k
+    totals, bounds, step = _totals(words, k), [], 0
+    for _ in range(passes):
+        seen = [0.0, 0.0]
+        for c in range(chunks):
+            part = bags if chunks == 1 else bags.where(F.col("block") % chunks == c)
+            stats = _chunk_counts(part, words, totals, k, alpha)
+            score = stats.where(F.col("term").isNull()).select("v").collect()  # one row
+            seen = [a + b for a, b in zip(seen, score[0]["v"][:2] if score else (0.0, 0.0))]
+            rho = 1.0 if chunks == 1 else (offset + step) ** -decay
+            fresh = stats.where(F.col("term").isNotNull())
+            scale = float(chunks)
+            blend = F.when(F.col("v").isNull(), F.transform("lam", lambda a: a * F.lit(1 - rho) + F.lit(rho * eta))).otherwise(
+                F.zip_with("lam", "v", lambda a, b: a * F.lit(1 - rho) + F.lit(rho) * (F.lit(eta) + F.lit(scale) * b)))
+            words = _written(words.join(fresh, "term", "left").select("term", "n", blend.alias("lam")), "topic-words")
+            totals = _totals(words, k)
+            step += 1
+        bounds.append(seen[0] / seen[1] if seen[1] else 0.0)
+    return TopicModel(words, totals, k, alpha, eta, bounds)
+
+
+def _totals(words: DataFrame, k: int) -> list[float]:
+    row = words.agg(*[F.coalesce(F.sum(F.get("lam", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
+    return [float(v) for v in row]
+
+
+def _with_rows(bags: DataFrame, words: DataFrame) -> DataFrame:
+    """(at, word, lam): the rows of the terms that each block holds."""
+    held = bags.select(F.col("block").alias("at"), F.col("term").alias("word")).distinct()
+    return held.join(words.select(F.col("term").alias("word"), "lam"), "word")
+
+
+def _chunk_counts(bags: DataFrame, words: DataFrame, totals: list[float], k: int, alpha: float) -> DataFrame:
+    per_block = bags.groupBy("block").cogroup(_with_rows(bags, words).groupBy("at")).applyInArrow(
+        _expected_counts(k, alpha, np.array(totals)), "term string, v array<double>")
+    sums = per_block.groupBy("term").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(k)])
+    return _written(sums.select("term", F.array(*[f"v{i}" for i in range(k)]).alias("v")), "topic-counts")
+
+
+def topic_mixtures(model: TopicModel, tokens_df: DataFrame, tokens: str = "tokens", key: Sequence[str] = KEY) -> DataFrame:
+    """(key, theta array<double>): the topic mixture of every row; one without a known token has equal shares."""
+    numbered = _written(tokens_df.select(*key, F.monotonically_increasing_id().alias("post"), F.col(tokens).alias("toks")), "topic-posts")
+    n = numbered.agg(F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()[0]
+    bags = _bags(numbered.withColumnRenamed("toks", "tokens"), "tokens", model.words, max(1, math.ceil(n / BLOCK_PAIRS)))
+    theta = bags.groupBy("block").cogroup(_with_rows(bags, model.words).groupBy("at")).applyInArrow(
+        _mixtures(model.alpha, np.array(model.totals)), "post long, theta array<double>")
+    even = F.array(*[F.lit(1.0 / model.k)] * model.k)
+    return numbered.join(theta, "post", "left").select(*key, F.coalesce("theta", even).alias("theta"))
+
+
+def topic_distribution(model: TopicModel, tokens_df: DataFrame, tokens: str = "tokens", key: Sequence[str] = KEY) -> DataFrame:
     """``(key, topic_id, prob)`` full topic mixture of every post."""
-    bow = cv_model.transform(tokens_df.select(*key, tokens))
-    mix = lda_model.setFeaturesCol("_bow").transform(bow).select(
-        *key, vector_to_array("topicDistribution").alias("_theta"))
-    return mix.select(*key, F.posexplode("_theta").alias("topic_id", "prob"))
+    return topic_mixtures(model, tokens_df, tokens, key).select(*key, F.posexplode("theta").alias("topic_id", "prob"))
 
 
-def model_topic_terms(cv_model: CountVectorizerModel, lda_model: LocalLDAModel) -> DataFrame:
+def model_topic_terms(model: TopicModel) -> DataFrame:
     """``(topic_id, term, weight)``: every topic's word distribution over the whole vocabulary."""
-    vocab = cv_model.vocabulary
-    spark = lda_model.describeTopics(1).sparkSession
-    desc = lda_model.describeTopics(len(vocab))
-    vocab_df = model_vocabulary(cv_model, spark)
-    rows = desc.select(F.col("topic").alias("topic_id"),
-                       F.explode(F.arrays_zip("termIndices", "termWeights")).alias("tw"))
-    return (rows.select("topic_id", F.col("tw.termIndices").alias("term_index"),
-                        F.col("tw.termWeights").alias("weight"))
-            .join(F.broadcast(vocab_df), "term_index").select("topic_id", "term", "weight"))
-
-
-def model_vocabulary(cv_model: CountVectorizerModel, spark) -> DataFrame:
-    """``(term, term_index)`` of a fitted vectoriser (bounded by its ``vocabSize``; via Arrow)."""
-    import pandas as pd
-    vocab = cv_model.vocabulary
-    pdf = pd.DataFrame({"term": pd.Series(vocab, dtype="object"),
-                        "term_index": pd.Series(range(len(vocab)), dtype="int32")})
-    return spark.createDataFrame(pdf, "term string, term_index int")
+    totals = F.array(*[F.lit(max(t, 1e-300)) for t in model.totals])
+    return (model.words.select("term", F.posexplode(F.zip_with("lam", totals, lambda a, t: a / t)).alias("topic_id", "weight"))
+            .select("topic_id", "term", "weight"))
+
+
+def model_vocabulary(model: TopicModel, first: int) -> DataFrame:
+    """``(term, term_index)`` of the ``first`` most frequent terms, ties by term."""
+    spark = model.words.sparkSession
+    head = model.words.orderBy(F.desc("n"), "term").limit(first).select("term").collect()  # at most ``first`` terms
+    return spark.createDataFrame([(r["term"], i) for i, r in enumerate(head)], "term string, term_index int")
+
+
+def model_word_weights(model: TopicModel, doc_topics: DataFrame | None = None, theta: DataFrame | None = None, mode: str = "marginal",
+                       key: Sequence[str] = KEY) -> DataFrame:
+    """F7 on a fitted model: ``(term, weight)``; the word table is neither exploded by topic nor moved."""
+    if mode == "positional":
+        # A topic id only ever meets the vocabulary index that equals it.
+        return topic_word_weights(doc_topics, vocabulary=model_vocabulary(model, model.k), mode="positional", key=key)
+    mean = theta.agg(*[F.avg(F.get("theta", F.lit(i))).alias(f"m{i}") for i in range(model.k)]).first()
+    share = F.array(*[F.lit(float(m or 0.0) / max(t, 1e-300)) for m, t in zip(mean, model.totals)])
+    weight = F.aggregate(F.zip_with("lam", share, lambda a, s: a * s), F.lit(0.0), lambda a, x: a + x)
+    return model.words.select("term", weight.alias("weight"))
 
 
 def topic_word_weights(doc_topics: DataFrame, topic_terms: DataFrame | None = None,
@@ -112,8 +319,8 @@ def topic_doc_weight(tokens_df: DataFrame, weights: DataFrame, tokens: str = "to
                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """F8: ``(key, topic_weight)`` = Σ over a post's tokens (with repeats) of the word weight.
 
-    Unknown words add nothing; posts without any known word get 0.  The weight table is bounded
-    by the vocabulary size and is broadcast after a size check.
+    Unknown words add nothing; posts without any known word get 0.  The weight table is broadcast after a size
+    check; a larger one is joined by the term.
     """
     w = checked_broadcast(weights.select("term", F.col("weight").cast("double")), max_broadcast_rows)
     toks = tokens_df.select(*key, F.posexplode_outer(tokens).alias("pos", "term"))

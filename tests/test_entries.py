@@ -5,7 +5,6 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from postcred.operators import topics as TP
 from postcred.plans import models as M
 from postcred.plans import pipeline as P
 from postcred.schemas import FEATURES
@@ -33,14 +32,6 @@ def test_comparison_features_drop_emptied_posts_and_scale_rows(spark):
     assert max(r["topic_weight"] for r in plain) < 1  # the mention is not a topic word
 
 
-def test_topic_vocabulary_holds_every_token(spark):
-    tokens = spark.createDataFrame([(["a", "b", "c"],), (["a", "d"],), ([],)], "tokens array<string>")
-    cv, _ = TP.fit_topics(tokens, k=2)
-    assert sorted(cv.vocabulary) == ["a", "b", "c", "d"]
-    cv, _ = TP.fit_topics(tokens, k=2, vocab_size=2)
-    assert len(cv.vocabulary) == 2
-
-
 def test_feature_table_without_keys_is_scored_like_one_with_keys(spark):
     rows = [(f"p{i:03d}", "t", *[float((i % 3) * 4 + (i * (j + 3)) % 5 * 0.1) for j in range(5)]) for i in range(45)]
     five = spark.createDataFrame(rows, "screen_name string, created_at string, " + ", ".join(f"{c} double" for c in FEATURES))
