@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postcred.operators.classify import mlp_fit
+from postcred.operators.classify import Network, mlp_fit
 from postcred.schemas import CAPTURE_SCHEMA, FEATURES, KEY
 from postcred.sources.captures import dedup_posts, CAPTURE_PATH_MARK, filter_originals, project_original
 
@@ -72,11 +71,11 @@ class IncrementalTrainer:
         epochs = []
         if fs.exists(path):
             for status in fs.listStatus(path):
-                # a model counts once its data part, written last, is complete
-                if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "data/_SUCCESS")):
+                # a model counts once its write is complete
+                if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
                     epochs.append(int(status.getPath().getName().removeprefix("epoch-")))
         epochs = [e for e in epochs if before is None or e < before]
-        self.model = MultilayerPerceptronClassificationModel.load(self._path(max(epochs))) if epochs else None
+        self.model = Network.from_json(spark.read.text(self._path(max(epochs))).first()["value"]) if epochs else None
         return self.model
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
@@ -84,11 +83,10 @@ class IncrementalTrainer:
             return
         if self.state_dir is not None:
             self.load(batch.sparkSession, epoch_id)
-        weights = self.model.weights if self.model is not None else None
-        self.model = mlp_fit(batch, self.n_classes, self.cols, self.label, max_iter=self.max_iter,
-                             seed=self.seed, initial_weights=weights)
+        self.model = mlp_fit(batch, self.n_classes, self.cols, self.label, max_iter=self.max_iter, seed=self.seed, initial=self.model)
         if self.state_dir is not None:
-            self.model.write().overwrite().save(self._path(epoch_id))
+            saved = batch.sparkSession.createDataFrame([(self.model.to_json(),)], "value string")
+            saved.coalesce(1).write.mode("overwrite").text(self._path(epoch_id))
         self.batches += 1
 
 

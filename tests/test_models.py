@@ -52,7 +52,7 @@ def test_mlp_and_warm_start(spark):
     pred = mlp_predict(model, df, cols=["a", "b"])
     assert accuracy(pred).first()["accuracy_pct"] > 90
     inc = mlp_fit_incremental([df.where(F.col("a") < 5.5), df], 3, cols=["a", "b"], max_iter_per_batch=30)
-    assert len(inc.weights) == len(model.weights)
+    assert len(inc.flat()) == len(model.flat()) and inc.steps == 60
 
 
 def test_confusion_and_report(spark):

@@ -51,13 +51,13 @@ def test_trainer_goes_on_after_restart_and_replays_alike(spark):
         return IncrementalTrainer(3, cols=["a", "b"], max_iter_per_batch=5, state_dir=state)
     first = new()
     first(df, 0)
-    zero = list(first.model.weights)
+    zero = list(first.model.flat())
     first(df, 1)
-    one = list(first.model.weights)
+    one = list(first.model.flat())
     assert one != zero
     again = new()  # the stream replays epoch 1 after a restart: it starts from epoch 0, as before
     again(df, 1)
-    assert list(again.model.weights) == one
-    assert list(new().load(spark).weights) == one
-    assert list(new().load(spark, before=1).weights) == zero
+    assert list(again.model.flat()) == one
+    assert list(new().load(spark).flat()) == one
+    assert list(new().load(spark, before=1).flat()) == zero
     assert new().load(spark, before=0) is None
