@@ -2,7 +2,7 @@
 
 The per-row libraries of the reference (valence list, subjectivity list, category lists) are
 re-expressed as tables: posts are exploded to words, joined to the lexicon (broadcast when its
-size is checked to be small) and aggregated back per post.  Only lexicon *hits* travel past the
+size is checked to be small, behind a filter of a fixed size when it is not) and aggregated back per post.  Only lexicon *hits* travel past the
 join, plus one marker row per post so that posts without any hit still get a (zero) score
 without a join back.  The aggregations group by the post key; when the input is the deduplicated
 ``posts`` frame that grouping is already satisfied by its partitioning, so no exchange is added.
@@ -12,7 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postcred.functions.features import DECEPTION_CATEGORIES, deception_index
@@ -37,28 +40,67 @@ def lexicon_sentiment(posts: DataFrame, lexicon: DataFrame, text_col: str = "tex
     ``positive`` sums the positive token scores, ``negative`` the negative ones; ``neutral`` is
     always 0, as in the reference (quirk Q4).  ``lexicon``: ``(term, score, kind)``.
     """
-    toks = posts.select(*key, F.posexplode_outer(split_ws(text_col)).alias("pos", "tok"))
-    words = toks.select(*key, "pos", "tok", F.posexplode_outer(lexicon_words("tok")).alias("wpos", "term"))
-    word_lex = checked_broadcast(
-        lexicon.where(F.col("kind") == "word").select("term", F.col("score").cast("long").alias("score")),
-        max_broadcast_rows)
-    emo_lex = checked_broadcast(
-        lexicon.where(F.col("kind") == "emoticon").select(F.col("term").alias("tok"),
-                                                          F.col("score").cast("long").alias("escore")),
-        max_broadcast_rows)
-    j = words.join(word_lex, "term", "left").join(emo_lex, "tok", "left")
-    first_word = _is_marker("wpos")
-    score = F.coalesce(F.col("score"), F.lit(0)) + F.when(first_word, F.coalesce(F.col("escore"), F.lit(0))).otherwise(0)
-    hits = j.select(*key, "pos", score.alias("score"), (_is_marker("pos") & first_word).alias("_marker"))
-    hits = hits.where((F.col("score") != 0) | F.col("_marker"))
+    # One explode: a row per word of a raw token, plus one for the token itself where it may be an emoticon (it has a non-word sign).
+    parts = F.transform(split_ws(text_col), lambda t, i: F.transform(
+        F.concat(F.array(F.struct(F.lit("emoticon").alias("kind"), t.alias("term"))),
+                 F.transform(lexicon_words(t), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("term")))),
+        lambda p: F.struct(i.alias("pos"), p["kind"].alias("kind"), p["term"].alias("term"))))
+    plain = F.filter(F.flatten(parts), lambda p: (p["kind"] == "word") | p["term"].rlike(EMOTICON_SIGN))
+    rows = posts.select(*key, F.posexplode_outer(plain).alias("at", "p")).select(*key, "at", F.col("p.pos").alias("pos"), F.col("p.kind").alias("kind"), F.col("p.term").alias("term"))
+    lex = lexicon.select("kind", "term", F.col("score").cast("long").alias("score"))
+    j = lexicon_hits(rows, lex, ["kind", "term"], _is_marker("at"), key, max_broadcast_rows)
+    hits = j.where((F.coalesce("score", F.lit(0)) != 0) | _is_marker("at"))
     per_token = hits.groupBy(*key, "pos").agg(F.sum("score").alias("s"))
     per_post = per_token.groupBy(*key).agg(
-        F.sum(F.greatest(F.col("s"), F.lit(0))).alias("positive"),
-        F.sum(F.least(F.col("s"), F.lit(0))).alias("negative"),
+        F.coalesce(F.sum(F.greatest(F.col("s"), F.lit(0))), F.lit(0)).alias("positive"),
+        F.coalesce(F.sum(F.least(F.col("s"), F.lit(0))), F.lit(0)).alias("negative"),
     )
     return per_post.select(*key, "positive", "negative", F.lit(0).cast("long").alias("neutral"))
 
 
+#: A raw token can only be listed as an emoticon if it is not a plain word.
+EMOTICON_SIGN = r"[^\p{L}\p{N}_']"
+#: 64-bit words of the prefilter (8 MB) that tokens are tested by before a large lexicon's join moves any of them.
+FILTER_WORDS = 1 << 20
+#: Parts that each entry of a large lexicon is joined in, so that a very frequent entry is not one task's work.
+SALTS = 16
+
+
+def lexicon_filter(lexicon: DataFrame, on: Sequence[str]):
+    """A test over ``on`` (a Bloom filter) that holds for every entry of the lexicon and for few other values.
+
+    The entries' hashes are or-ed into words on the executors; the filter has a fixed size, so a lexicon of any size gets one.
+    """
+    h = F.xxhash64(*on)
+    bits = F.expr("shiftleft(1L, cast(pmod(h, 64) as int)) | shiftleft(1L, cast(pmod(shiftright(h, 6), 64) as int))")
+    words = (lexicon.select(h.alias("h")).select(F.pmod(F.shiftright("h", 12), F.lit(FILTER_WORDS)).cast("int").alias("at"), bits.alias("bits"))
+             .groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow())  # at most FILTER_WORDS rows
+    table = np.zeros(FILTER_WORDS, np.uint64)
+    table[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = lexicon.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def might_hold(h: pd.Series) -> pd.Series:
+        x = h.to_numpy(np.int64)
+        mask = (np.uint64(1) << (x % 64).astype(np.uint64)) | (np.uint64(1) << ((x >> 6) % 64).astype(np.uint64))
+        return pd.Series((shared.value[(x >> 12) % FILTER_WORDS] & mask) == mask)
+    return might_hold(h)
+
+
+def lexicon_hits(rows: DataFrame, lexicon: DataFrame, on: Sequence[str], marker: Column, key: Sequence[str], max_broadcast_rows: int) -> DataFrame:
+    """``rows`` with the lexicon's columns: every hit, every marker row, and perhaps further rows without a hit.
+
+    A lexicon of at most ``max_broadcast_rows`` rows (counted) is broadcast.  For a larger one the rows are tested by a filter of a fixed
+    size first, so only hits, markers and a few false ones are moved, salted by post against very frequent entries.
+    """
+    held = lexicon.persist(StorageLevel.MEMORY_AND_DISK)
+    if held.count() <= max_broadcast_rows:
+        return rows.join(F.broadcast(held), list(on), "left")
+    some = rows.where(marker | lexicon_filter(held, on)).withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
+    dealt = held.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return some.join(dealt, [*on, "_salt"], "left").drop("_salt")
+
+
 def lexicon_subjectivity(posts: DataFrame, lexicon: DataFrame, text_col: str = "text_stripped",
                          key: Sequence[str] = KEY,
                          max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
@@ -67,8 +109,9 @@ def lexicon_subjectivity(posts: DataFrame, lexicon: DataFrame, text_col: str = "
     ``lexicon``: ``(term, subjectivity)`` with values in [0, 1].
     """
     words = posts.select(*key, F.posexplode_outer(lexicon_words(text_col)).alias("pos", "term"))
-    lex = checked_broadcast(lexicon.select("term", F.col("subjectivity").cast("double")), max_broadcast_rows)
-    hits = words.join(lex, "term", "left").where(F.col("subjectivity").isNotNull() | _is_marker("pos"))
+    lex = lexicon.select("term", F.col("subjectivity").cast("double"))
+    hits = lexicon_hits(words, lex, ["term"], _is_marker("pos"), key, max_broadcast_rows)
+    hits = hits.where(F.col("subjectivity").isNotNull() | _is_marker("pos"))
     per_post = hits.groupBy(*key).agg(F.avg("subjectivity").alias("subjectivity"))
     return per_post.fillna({"subjectivity": 0.0})
 
@@ -84,9 +127,9 @@ def category_rates(posts: DataFrame, lexicon: DataFrame, text_col: str = "text_s
     cats = list(categories)
     w = posts.select(*key, lexicon_words(text_col).alias("_w"))
     words = w.select(*key, F.size("_w").alias("n_words"), F.posexplode_outer("_w").alias("pos", "term"))
-    lex = checked_broadcast(lexicon.where(F.col("category").isin(cats)).select("category", "term"),
-                            max_broadcast_rows)
-    hits = words.join(lex, "term", "left").where(F.col("category").isNotNull() | _is_marker("pos"))
+    lex = lexicon.where(F.col("category").isin(cats)).select("category", "term")
+    hits = lexicon_hits(words, lex, ["term"], _is_marker("pos"), key, max_broadcast_rows)
+    hits = hits.where(F.col("category").isNotNull() | _is_marker("pos"))
     counts = hits.groupBy(*key, "n_words").pivot("category", cats).agg(F.count(F.lit(1)))
     rate = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n_words")), F.lit(0.0))
     return counts.select(*key, *[rate(c).alias(c) for c in cats])
