@@ -101,6 +101,7 @@ class FuzzyResult:
     iterations: int
     error: float
     fpc: float
+    converged: bool = False
 
 
 def _with_init_memberships(df: DataFrame, key: Sequence[str], k: int, seed: int, out: str) -> DataFrame:
@@ -127,24 +128,54 @@ def _centers_from(row, cols: Sequence[str], k: int) -> list[list[float]]:
     return [[row[f"_num{j}_{i}"] / row[f"_den{j}"] for i in range(len(cols))] for j in range(k)]
 
 
+def cmeans_step(df: DataFrame, centers: Sequence[Sequence[float]], cols: Sequence[str] = FEATURES, m: float = 2.0) -> list[list[float]]:
+    """One c-means iteration: the centres that the memberships for ``centers`` give (in the order of ``centers``)."""
+    k = len(centers)
+    row = with_memberships(df.select(*cols), centers, cols, m, "_u").agg(*_center_sums("_u", cols, k, m)).collect()[0]
+    return _centers_from(row, cols, k)
+
+
+#: Row count at which the reference's absolute stop rule and the rule per row agree.
+ERROR_ROWS = 1000
+#: Rows of the sample that a warm start runs on (about; the fit itself always ends on all rows).
+WARM_ROWS = 20_000
+
+
 def fuzzy_cmeans_fit(df: DataFrame, k: int, cols: Sequence[str] = FEATURES, key: Sequence[str] = KEY,
                      m: float = 2.0, error: float = 0.005, max_iter: int = 1500, seed: int = 0,
-                     init_centers: Sequence[Sequence[float]] | None = None) -> FuzzyResult:
-    """Fuzzy c-means, stopping when ||U_t - U_{t-1}||_F < ``error`` or after ``max_iter``.
+                     init_centers: Sequence[Sequence[float]] | None = None, per_row: bool = True,
+                     warm_rows: int | None = WARM_ROWS) -> FuzzyResult:
+    """Fuzzy c-means over all rows until the memberships settle or ``max_iter`` iterations.
+
+    The stop rule looks at the mean square change of a membership row, so the number of iterations does not grow with the rows:
+    ``||U_t - U_{t-1}||_F < error * sqrt(n / 1000)``, which for 1000 rows is the reference's absolute rule (``per_row=False`` keeps that
+    one for any n).  On more than twice ``warm_rows`` rows the first centres come from a fit on a hash sample of about that many; the
+    iterations on all rows start there and run until the rule holds for all rows.  ``iterations`` counts those on all rows.
 
     Memberships are a function of the centres, so the loop state is k x d doubles.  Iteration t
     is ONE aggregation that yields both the change of memberships between the previous and the
     current centres and the weighted sums for the next centres.  Cache / checkpoint ``df`` first.
     """
     data = df.select(*key, *cols)
-    if init_centers is None:
-        prev_centers = None
+    n = data.agg(F.count(F.lit(1))).first()[0]
+    if init_centers is None and warm_rows is not None and n > 2 * warm_rows:
+        share = int((1 << 32) * warm_rows / n)
+        some = data.where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 32)) < share).persist()
+        init_centers = _cmeans(some, k, cols, key, m, error, max_iter, seed, None, per_row).centers
+        some.unpersist()
+    return _cmeans(data, k, cols, key, m, error, max_iter, seed, init_centers, per_row, n)
+
+
+def _cmeans(data: DataFrame, k: int, cols, key, m, error, max_iter, seed, init_centers, per_row, n: int | None = None) -> FuzzyResult:
+    n = data.agg(F.count(F.lit(1))).first()[0] if n is None else n
+    limit = error * math.sqrt(max(n, 1) / ERROR_ROWS) if per_row else error
+    prev_centers = None
+    first = init_centers is None
+    if first:
         row = _with_init_memberships(data, key, k, seed, "_u").agg(*_center_sums("_u", cols, k, m)).collect()[0]
         centers = _centers_from(row, cols, k)
     else:
-        prev_centers = None
         centers = [list(map(float, c)) for c in init_centers]
-    first = init_centers is None
     err, it = float("inf"), 0
     for it in range(1, max_iter + 1):
         cur = with_memberships(data, centers, cols, m, "_u")
@@ -157,14 +188,14 @@ def fuzzy_cmeans_fit(df: DataFrame, k: int, cols: Sequence[str] = FEATURES, key:
         row = cur.agg(*aggs).collect()[0]
         if first or prev_centers is not None:
             err = math.sqrt(row["_err2"])
-            if err < error:
+            if err < limit:
                 break
         first = False
         prev_centers = centers
         centers = _centers_from(row, cols, k)
     fpc_row = with_memberships(data, centers, cols, m, "_u").agg(
         (F.sum(F.aggregate("_u", F.lit(0.0), lambda a, x: a + x * x)) / F.count(F.lit(1))).alias("fpc")).first()
-    return FuzzyResult(canonical_centers(centers), it, err, float(fpc_row["fpc"] or 0.0))
+    return FuzzyResult(canonical_centers(centers), it, err, float(fpc_row["fpc"] or 0.0), err < limit)
 
 
 def assemble(df: DataFrame, cols: Sequence[str] = FEATURES, out: str = "features") -> DataFrame:
@@ -190,6 +221,91 @@ def contingency(df: DataFrame, a: str = "kmeans_label", b: str = "fuzzy_label")
     return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
+def best_assignment(gain: Sequence[Sequence[float]]) -> list[int]:
+    """Column given to each row so that the sum of ``gain`` is largest (shortest augmenting paths with potentials, k^3).
+
+    With fewer columns than rows the table is padded; a row without a column gets -1.
+    """
+    rows, cols = len(gain), max((len(r) for r in gain), default=0)
+    n = max(rows, cols)
+    cost = [[-float(gain[i][j]) if i < rows and j < cols else 0.0 for j in range(n)] for i in range(n)]
+    up, left, owner = [0.0] * (n + 1), [0.0] * (n + 1), [n] * (n + 1)  # column n stands for "no column yet"
+    for i in range(n):
+        owner[n] = i
+        at, best, before, used = n, [math.inf] * n, [n] * n, [False] * (n + 1)
+        while True:
+            used[at] = True
+            row = owner[at]
+            step, to = math.inf, -1
+            for j in range(n):
+                if used[j]:
+                    continue
+                slack = cost[row][j] - up[row] - left[j]
+                if slack < best[j]:
+                    best[j], before[j] = slack, at
+                if best[j] < step:
+                    step, to = best[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    up[owner[j]] += step
+                    left[j] -= step
+                elif j < n:
+                    best[j] -= step
+            at = to
+            if owner[at] == n:
+                break
+        while at != n:
+            owner[at] = owner[before[at]]
+            at = before[at]
+    out = [-1] * rows
+    for j in range(cols):
+        if owner[j] < rows:
+            out[owner[j]] = j
+    return out
+
+
+def adjusted_rand(table: dict[tuple, int]) -> float:
+    """Adjusted Rand index of a contingency {(a, b): n}; 1 if both clusterings put all rows in one class or each in its own."""
+    pairs = lambda n: n * (n - 1) // 2
+    rows, cols = {}, {}
+    for (a, b), n in table.items():
+        rows[a], cols[b] = rows.get(a, 0) + n, cols.get(b, 0) + n
+    both, one, two, total = (sum(pairs(n) for n in x) for x in (table.values(), rows.values(), cols.values(), [sum(rows.values())]))
+    expected = one * two / total if total else 0.0
+    most = (one + two) / 2
+    return 1.0 if most == expected else (both - expected) / (most - expected)
+
+
+@dataclass
+class Matching:
+    """``pairs``: label of the first clustering -> matched label of the second (None: unmatched)."""
+    pairs: dict
+    agreeing: int
+    total: int
+    rand_index: float
+
+
+def match_clusterings(df: DataFrame, a: str = "kmeans_label", b: str = "fuzzy_label") -> Matching:
+    """The one-to-one matching of two label columns that agrees on most rows, and their adjusted Rand index.
+
+    Only the contingency (labels x labels) reaches the driver; rows with a null label are left out.
+    """
+    table = {(r[a], r[b]): r["n"] for r in contingency(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b).collect()}
+    left, right = sorted({x for x, _ in table}), sorted({y for _, y in table})
+    chosen = best_assignment([[table.get((x, y), 0) for y in right] for x in left])
+    pairs = {x: right[j] if j >= 0 else None for x, j in zip(left, chosen)}
+    return Matching(pairs, sum(table.get((x, y), 0) for x, y in pairs.items()), sum(table.values()), adjusted_rand(table))
+
+
+def with_matched_label(df: DataFrame, matching: Matching, a: str = "kmeans_label", out: str = "matched_label") -> DataFrame:
+    """Add the second clustering's label that matches the row's label of the first."""
+    col = F.lit(None).cast("int")
+    for x, y in matching.pairs.items():
+        if y is not None:
+            col = F.when(F.col(a) == x, F.lit(int(y))).otherwise(col)
+    return df.withColumn(out, col)
+
+
 def save_kmeans(model: KMeansModel, path: str) -> None:
     """Persist a fitted k-means model (Spark ML directory format)."""
     model.write().overwrite().save(path)

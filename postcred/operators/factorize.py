@@ -30,6 +30,7 @@ class NmfModel:
     cols: tuple
     iterations: int
     errors: list[float]
+    converged: bool = False
 
 
 def with_coords(df: DataFrame, cols: Sequence[str], W: np.ndarray, h0: float, steps: int,
@@ -65,22 +66,29 @@ def nmf_fit(df: DataFrame, cols: Sequence[str] = FEATURES, rank: int = 5, max_it
     scale = math.sqrt(max(mean, EPS) / rank)
     W = np.abs(np.random.RandomState(seed).standard_normal((rank, d))) * scale
     errors: list[float] = []
-    it = 0
+    it, done = 0, False
     for it in range(1, max_iter + 1):
-        aggs = []
-        for j in range(rank):
-            aggs += [F.sum(F.get("_h", j) * F.col(c)).alias(f"hx{j}_{i}") for i, c in enumerate(cols)]
-            aggs += [F.sum(F.get("_h", j) * F.get("_h", k)).alias(f"hh{j}_{k}") for k in range(rank)]
-        recon = [sum((F.get("_h", j) * F.lit(float(W[j, i])) for j in range(rank)), F.lit(0.0)) for i in range(d)]
-        aggs.append(F.sum(sum(((F.col(c) - recon[i]) ** 2 for i, c in enumerate(cols)), F.lit(0.0))).alias("err"))
-        row = with_coords(data, cols, W, scale, inner_steps).agg(*aggs).collect()[0]
-        HX = np.array([[row[f"hx{j}_{i}"] for i in range(d)] for j in range(rank)])
-        HH = np.array([[row[f"hh{j}_{k}"] for k in range(rank)] for j in range(rank)])
-        errors.append(math.sqrt(max(row["err"], 0.0)))
-        W = W * HX / (HH @ W + EPS)
+        W, err = nmf_step(data, cols, W, scale, inner_steps)
+        errors.append(err)
         if len(errors) > 1 and errors[-2] > 0 and (errors[-2] - errors[-1]) / errors[-2] < tol:
+            done = True
             break
-    return NmfModel([list(map(float, r)) for r in W], scale, inner_steps, cols, it, errors)
+    return NmfModel([list(map(float, r)) for r in W], scale, inner_steps, cols, it, errors, done)
+
+
+def nmf_step(data: DataFrame, cols: Sequence[str], W: np.ndarray, h0: float, inner_steps: int) -> tuple[np.ndarray, float]:
+    """One outer iteration: (next basis, reconstruction error of the given one)."""
+    rank, d = W.shape
+    aggs = []
+    for j in range(rank):
+        aggs += [F.sum(F.get("_h", F.lit(j)) * F.col(c)).alias(f"hx{j}_{i}") for i, c in enumerate(cols)]
+        aggs += [F.sum(F.get("_h", F.lit(j)) * F.get("_h", F.lit(k))).alias(f"hh{j}_{k}") for k in range(rank)]
+    recon = [sum((F.get("_h", F.lit(j)) * F.lit(float(W[j, i])) for j in range(rank)), F.lit(0.0)) for i in range(d)]
+    aggs.append(F.sum(sum(((F.col(c) - recon[i]) ** 2 for i, c in enumerate(cols)), F.lit(0.0))).alias("err"))
+    row = with_coords(data, cols, W, h0, inner_steps).agg(*aggs).collect()[0]
+    HX = np.array([[row[f"hx{j}_{i}"] or 0.0 for i in range(d)] for j in range(rank)])
+    HH = np.array([[row[f"hh{j}_{k}"] or 0.0 for k in range(rank)] for j in range(rank)])
+    return W * HX / (HH @ W + EPS), math.sqrt(max(row["err"] or 0.0, 0.0))
 
 
 def nmf_apply(df: DataFrame, model: NmfModel, out_cols: Sequence[str] | None = None) -> DataFrame:
