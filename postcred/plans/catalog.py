@@ -25,7 +25,7 @@ from postcred.plans import oracle as O
 from postcred.plans import pipeline as P
 from postcred.schemas import FEATURES, KEY
 from postcred.sources.adapter import capture_lines, load_table, write_capture_folder
-from postcred.sources.captures import (dedup_posts, filter_originals, ingest_counts, parse_posts,
+from postcred.sources.captures import (dedup_posts, filter_originals, parse_posts,
                                        project_original, read_captures, union_captures)
 
 K = list(KEY)
@@ -65,11 +65,6 @@ def q_union_captures(spark, sf):
     return dedup_posts(union_captures(a, b)).select(*POST_COLS)
 
 
-def q_ingest_counts(spark, sf):
-    lines = capture_lines(spark, sf)
-    return ingest_counts(lines, P.posts_from_tables(spark, sf), FX.TEST_SHARE)
-
-
 # ---------------------------------------------------------------- T: text
 def q_clean_tokens(spark, sf):
     d = TX.with_clean_text(TX.with_tokens(P.posts_from_tables(spark, sf)))
@@ -278,7 +273,6 @@ def deterministic_queries() -> dict[str, Callable[[SparkSession, str], DataFrame
         "parse_posts": q_parse_posts,
         "dedup_posts": q_dedup_posts,
         "union_captures": q_union_captures,
-        "ingest_counts": q_ingest_counts,
         "read_feature_table": q_read_feature_table,
         "clean_tokens": q_clean_tokens,
         "strip_urls": q_strip_urls,
@@ -360,12 +354,6 @@ def sql_catalog() -> dict[str, str]:
         "parse_posts": O.with_(both_obs) + f"SELECT {posts_cols} FROM obs",
         "dedup_posts": O.with_(O.POSTS) + f"SELECT {posts_cols} FROM posts",
         "union_captures": O.with_(O.POSTS) + f"SELECT {posts_cols} FROM posts",
-        "ingest_counts": (
-            "SELECT t.total_lines, p.original_posts, p.original_posts - CAST(ceil(p.original_posts * "
-            f"{FX.TEST_SHARE}) AS BIGINT) AS train_rows, CAST(ceil(p.original_posts * {FX.TEST_SHARE}) AS BIGINT)"
-            " AS test_rows FROM (SELECT CAST((SELECT 2 * count(*) FROM documents) + (SELECT count(*) FROM "
-            "conversations) AS BIGINT) AS total_lines) t, "
-            f"(SELECT count(*) AS original_posts FROM ({O.observations_cte(10)})) p"),
         "read_feature_table": O.with_(*O.five_ctes()) + five_sel,
         "clean_tokens": O.with_(O.POSTS, O.TOK) + (
             f"SELECT {K2}, CAST(len(tokens) AS BIGINT) AS n_tokens, array_to_string(tokens, ' ') AS clean_text FROM tok"),

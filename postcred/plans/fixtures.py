@@ -15,6 +15,12 @@ FIXED_CENTERS = (
     (0.0, 0.0, 0.0, 0.0, 0.0),
     (1.0, 1.0, 1.0, 1.0, 1.0),
 )
+OTHER_CENTERS = (
+    (0.6, 0.9, 0.6, 0.8, 0.9),
+    (-0.2, -0.4, -0.5, -0.6, -0.3),
+    (0.9, -0.1, 0.0, 0.1, -0.1),
+)
+BASIS_RANK, BASIS_START, BASIS_STEPS = 5, 0.5, 3
 TEST_SHARE = 0.25
 MINMAX_RANGE = (0, 10)
 
@@ -27,3 +33,17 @@ def theta_weight_sql(t: int, text_col: str) -> str:
 def phi_weight_sql(t: int, term_col: str) -> str:
     """Unnormalised weight of a term in topic ``t`` (normalised over the vocabulary afterwards)."""
     return f"CAST((length({term_col}) + ascii({term_col}) * {t + 1}) % 5 + 1 AS DOUBLE)"
+
+
+def net_weight(layer: int, i: int, j: int) -> float:
+    """Weight from unit ``i`` to unit ``j`` of a layer of the fixture network."""
+    return ((i * 7 + j * 3 + layer * 5) % 11 - 5) / 10
+
+
+def net_bias(layer: int, j: int) -> float:
+    return ((j + layer) % 5 - 2) / 10
+
+
+def basis_value(j: int, i: int) -> float:
+    """Value of feature ``i`` in component ``j`` of the fixture basis."""
+    return ((j * 3 + i * 5) % 7 + 1) / 4

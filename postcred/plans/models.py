@@ -10,9 +10,9 @@ every iterative fit then scans a short, recomputation-safe lineage.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,47 +33,28 @@ from postcred.sources.tables import read_feature_table, write_feature_table, wri
 K = list(KEY)
 
 
-# ------------------------------------------------------------------ topic weights from a fitted LDA
-def lda_word_weights(spark: SparkSession, cv_model, lda_model, doc_topics: DataFrame, mode: str = "marginal",
-                     key=KEY) -> DataFrame:
-    """F7 on a fitted model, as DataFrame operations.
-
-    ``marginal``: the normalised topic-word distributions (``describeTopics`` over the whole
-    vocabulary, computed in the JVM) joined to the k mean topic shares and summed per term.
-    The vocabulary (bounded by the vectoriser's ``vocabSize``) becomes a table through Arrow.
-    """
-    vocab_df = TP.model_vocabulary(cv_model, spark)
-    if mode == "positional":
-        return TP.topic_word_weights(doc_topics, vocabulary=vocab_df, mode="positional", key=key)
-    mean_theta = doc_topics.groupBy("topic_id").agg(F.avg("prob").alias("m"))      # k rows
-    desc = lda_model.describeTopics(len(cv_model.vocabulary))
-    phi = desc.select(F.col("topic").alias("topic_id"),
-                      F.explode(F.arrays_zip("termIndices", "termWeights")).alias("tw"))
-    per_term = (phi.join(F.broadcast(mean_theta), "topic_id")
-                .groupBy(F.col("tw.termIndices").alias("term_index"))
-                .agg(F.sum(F.col("m") * F.col("tw.termWeights")).alias("weight")))
-    return per_term.join(vocab_df, "term_index").select("term", "weight")
-
-
+# ------------------------------------------------------------------ topic weights from a fitted model
 @dataclass
 class TopicArtifacts:
-    cv_model: object
-    lda_model: object
-    doc_topics: DataFrame
-    weights: DataFrame
+    model: TP.TopicModel
+    theta: DataFrame        # (key, theta) of every post
+    weights: DataFrame      # (term, weight)
 
 
 def fit_topic_weights(spark, posts: DataFrame, cfg: P.PipelineConfig,
                       text_col: str = "text") -> tuple[DataFrame, TopicArtifacts]:
     """F5 -> F6 -> F7 -> F8: ``(key, topic_weight)`` for every post."""
     ltok = P.stored_tokens(posts, cfg.stopwords, text_col)
-    cv_model, lda_model = TP.fit_topics(ltok, "ltokens", k=cfg.topics, passes=cfg.lda_passes,
-                                        chunk_size=cfg.lda_chunk, seed=cfg.seed,
-                                        vocab_size=cfg.vocab_size, min_df=cfg.min_df)
-    dt = TP.topic_distribution(cv_model, lda_model, ltok, "ltokens")
-    weights = lda_word_weights(spark, cv_model, lda_model, dt, cfg.topic_weight_mode)
+    model = TP.fit_topics(ltok, "ltokens", k=cfg.topics, passes=cfg.lda_passes, chunk_size=cfg.lda_chunk, seed=cfg.seed,
+                          vocab_size=cfg.vocab_size, min_df=cfg.min_df)
+    theta = P.land(TP.topic_mixtures(model, ltok, "ltokens"))
+    if cfg.topic_weight_mode == "positional":
+        weights = TP.model_word_weights(model, doc_topics=theta.select(*K, F.posexplode("theta").alias("topic_id", "prob")), mode="positional")
+    else:
+        weights = TP.model_word_weights(model, theta=theta)
+    weights = P.land(weights)
     tw = TP.topic_doc_weight(ltok, weights, tokens="ltokens")
-    return tw, TopicArtifacts(cv_model, lda_model, dt, weights)
+    return tw, TopicArtifacts(model, theta, weights)
 
 
 def model_features(spark, posts: DataFrame, sentiment_lex: DataFrame, cfg: P.PipelineConfig):
@@ -119,6 +100,65 @@ class ModelBundle:
     diagnostics: dict = field(default_factory=dict)  # per iterative fit: iterations, last error, converged
 
 
+BUNDLE_FORMAT = 1
+
+
+def save_bundle(bundle: ModelBundle, path: str, lexicon: DataFrame | None = None) -> int:
+    """Write a bundle as the next version under ``path``; returns its number.
+
+    The tables (word weights, optionally the sentiment lexicon the features were made with) are written first, the manifest with
+    everything small (config, scaler, basis, both centre sets, network, diagnostics) last, so a version counts once it is whole.
+    """
+    spark = SparkSession.getActiveSession()
+    number = max(bundle_versions(spark, path), default=0) + 1
+    root = f"{path.rstrip('/')}/v{number:06d}"
+    tables = {"weights": bundle.weights, "lexicon": lexicon}
+    for name, table in tables.items():
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{root}/{name}")
+    nmf = bundle.nmf
+    head = {"format": BUNDLE_FORMAT, "config": {**vars(bundle.cfg), "stopwords": list(bundle.cfg.stopwords) if bundle.cfg.stopwords is not None else None},
+            "stats": {"cols": list(bundle.stats.cols), "means": list(bundle.stats.means), "scales": list(bundle.stats.scales)},
+            "nmf": None if nmf is None else {**vars(nmf), "cols": list(nmf.cols)},
+            "kmeans_centers": bundle.kmeans_centers, "fuzzy_centers": bundle.fuzzy_centers, "net": bundle.net.to_json(),
+            "diagnostics": bundle.diagnostics, "tables": [n for n, t in tables.items() if t is not None]}
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifest")
+    return number
+
+
+def bundle_versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions under ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    out = []
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("v") and name[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "manifest/_SUCCESS")):
+            out.append(int(name[1:]))
+    return sorted(out)
+
+
+def load_bundle(spark: SparkSession, path: str, number: int | None = None) -> tuple[ModelBundle, DataFrame | None]:
+    """(bundle, sentiment lexicon if one was saved) of a version, the newest by default; nothing is fitted again."""
+    versions = bundle_versions(spark, path)
+    if not versions or (number is not None and number not in versions):
+        raise FileNotFoundError(f"no whole model version under {path}")
+    root = f"{path.rstrip('/')}/v{number or versions[-1]:06d}"
+    head = json.loads(spark.read.text(f"{root}/manifest").first()["value"])
+    if head["format"] != BUNDLE_FORMAT:
+        raise ValueError(f"model format {head['format']} is not {BUNDLE_FORMAT}")
+    cfg = dict(head["config"])
+    cfg["stopwords"] = tuple(cfg["stopwords"]) if cfg["stopwords"] is not None else None
+    s, n = head["stats"], head["nmf"]
+    tables = {name: spark.read.parquet(f"{root}/{name}") for name in head["tables"]}
+    bundle = ModelBundle(P.PipelineConfig(**cfg), FE.StandardStats(tuple(s["cols"]), tuple(s["means"]), tuple(s["scales"])),
+                         None if n is None else NmfModel(**{**n, "cols": tuple(n["cols"])}), head["kmeans_centers"], head["fuzzy_centers"],
+                         MC.Network.from_json(head["net"]), tables.get("weights"), head["diagnostics"])
+    return bundle, tables.get("lexicon")
+
+
 def cluster_features(df: DataFrame, bundle_stats: FE.StandardStats, nmf: NmfModel | None) -> DataFrame:
     """abs -> standardise (fitted stats) -> optional NMF coordinates -> standardise -> abs."""
     z = FE.standardize_apply(FE.abs_features(df), bundle_stats)
@@ -243,31 +283,24 @@ def _posts_and_lex(spark, sf):
     return posts, sent, subj, cats
 
 
+def _fitted_topics(spark, sf):
+    ltok = P.stored_tokens(P.land_posts(P.posts_from_tables(spark, sf)))
+    return ltok, TP.fit_topics(ltok, "ltokens", k=SMALL.topics, seed=SMALL.seed)
+
+
 def q_fit_topics(spark, sf):
-    posts = P.posts_from_tables(spark, sf)
-    ltok = P.stored_tokens(posts)
-    cv, lda = TP.fit_topics(ltok, "ltokens", k=SMALL.topics, seed=SMALL.seed)
-    desc = lda.describeTopics(len(cv.vocabulary))  # the whole model
-    vocab = TP.model_vocabulary(cv, spark)
-    rows = desc.select(F.col("topic").alias("topic_id"),
-                       F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "tw"))
-    return rows.select("topic_id", "rank", F.col("tw.termIndices").alias("term_index"),
-                       F.col("tw.termWeights").alias("weight")).join(vocab, "term_index")
+    """The whole fitted model, one row per topic and term."""
+    return TP.model_topic_terms(_fitted_topics(spark, sf)[1])
 
 
 def q_topic_distribution(spark, sf):
-    posts = P.posts_from_tables(spark, sf)
-    ltok = P.stored_tokens(posts)
-    cv, lda = TP.fit_topics(ltok, "ltokens", k=SMALL.topics, seed=SMALL.seed)
-    return TP.topic_distribution(cv, lda, ltok, "ltokens")
+    ltok, model = _fitted_topics(spark, sf)
+    return TP.topic_distribution(model, ltok, "ltokens")
 
 
 def q_topic_weights_positional(spark, sf):
-    posts = P.posts_from_tables(spark, sf)
-    ltok = P.stored_tokens(posts)
-    cv, lda = TP.fit_topics(ltok, "ltokens", k=SMALL.topics, seed=SMALL.seed)
-    dt = TP.topic_distribution(cv, lda, ltok, "ltokens")
-    return lda_word_weights(spark, cv, lda, dt, mode="positional")
+    ltok, model = _fitted_topics(spark, sf)
+    return TP.model_word_weights(model, doc_topics=TP.topic_distribution(model, ltok, "ltokens"), mode="positional")
 
 
 def q_lda_five_features(spark, sf):

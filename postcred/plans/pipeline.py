@@ -53,6 +53,10 @@ def posts_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_posts(capture_lines(spark, sf_dir)).drop("observed_at")
 
 
+#: Prefix of the catalog entries of landed tables.
+LANDED = "postcred_landed_"
+
+
 def land(df: DataFrame, key=None, buckets: int | None = None) -> DataFrame:
     """Materialise a frame once in the shared checkpoint folder (cuts the lineage; a written
     table survives executor loss).
@@ -65,18 +69,26 @@ def land(df: DataFrame, key=None, buckets: int | None = None) -> DataFrame:
     """
     import uuid
 
-    from postcred.session import checkpoint_dir, scratch_dir
+    from postcred.session import scratch_dir
     spark = df.sparkSession
-    if key is None:
-        checkpoint_dir(spark)
-        return df.checkpoint(eager=True)
+    path = scratch_dir(spark, "landed")
+    if key is None:  # one job: written and read back (an eager checkpoint runs the last stage twice)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"postcred_landed_{uuid.uuid4().hex[:12]}"
-    (df.write.mode("overwrite").format("parquet").bucketBy(n, *key)
-     .option("path", scratch_dir(spark, "landed")).saveAsTable(name))
+    name = f"{LANDED}{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").format("parquet").bucketBy(n, *key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+def release_landed(spark: SparkSession) -> int:
+    """Drop the catalog entries of landed tables (their files stay in the checkpoint folder, which the platform cleans); how many."""
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith(LANDED)]
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return len(names)
+
+
 def land_posts(posts: DataFrame, buckets: int | None = None) -> DataFrame:
     """Land the deduplicated posts bucketed on the post key (the hub of every feature)."""
     return land(posts, KEY, buckets)

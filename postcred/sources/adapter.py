@@ -55,6 +55,16 @@ def capture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(later).unionByName(conv)
 
 
+def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture lines of other posts than ``capture_lines`` has: every conversation turn as an original post seen once."""
+    conv = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    status = F.struct(
+        F.struct(F.col("role").alias("screen_name"), F.expr("conv_id % 1000").alias("followers_count")).alias("user"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("created_at"),
+        F.expr("length(text) % 1500").alias("retweet_count"), F.col("text").alias("text"))
+    return conv.select(F.to_json(F.struct(status.alias("retweeted_status"))).alias("value"))
+
+
 def write_capture_folder(spark: SparkSession, sf_dir: str) -> str:
     """Land the adapter's lines as text files: two capture folders plus one the scan must skip."""
     root = scratch_dir(spark, "captures")

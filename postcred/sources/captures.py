@@ -7,8 +7,11 @@ columns, so later per-post aggregates reuse this partitioning instead of shuffli
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postcred.functions.text import strip_ws
 from postcred.schemas import CAPTURE_SCHEMA, KEY
@@ -131,14 +134,47 @@ def read_posts(lines: DataFrame) -> DataFrame:
     return dedup_posts(project_original(filter_originals(parse_posts(lines))))
 
 
-def ingest_counts(lines: DataFrame, posts: DataFrame, test_share: float | None = None) -> DataFrame:
-    """Total lines, distinct original posts, and (optionally) train / test sizes.
+#: Reasons for which a capture line gives no post, in the order they are tested; one line counts under one reason.
+DROP_REASONS = ("blank_lines", "broken_lines", "without_original", "missing_fields", "bad_counts")
+
+
+def drop_reason(value_col: str = "value") -> Column:
+    """Why a line gives no post (one of ``DROP_REASONS``), or null if it gives one.  ``tweet`` is the parsed line."""
+    rs = F.col("tweet.retweeted_status")
+    text = F.coalesce(rs["extended_tweet"]["full_text"], rs["text"])
+    missing = (rs["user"]["screen_name"].isNull() | rs["created_at"].isNull() | text.isNull()
+               | rs["user"]["followers_count"].isNull() | rs["retweet_count"].isNull())
+    bad = (F.expr("try_cast(tweet.retweeted_status.user.followers_count as bigint)").isNull()
+           | F.expr("try_cast(tweet.retweeted_status.retweet_count as bigint)").isNull())
+    whole = F.col("tweet._broken").isNull()
+    return (F.when(strip_ws(F.col(value_col)) == "", F.lit(DROP_REASONS[0])).when(~whole, F.lit(DROP_REASONS[1]))
+            .when(rs.isNull(), F.lit(DROP_REASONS[2])).when(missing, F.lit(DROP_REASONS[3])).when(bad, F.lit(DROP_REASONS[4])))
+
+
+def counted_posts(lines: DataFrame, value_col: str = "value") -> tuple[DataFrame, Observation, Observation]:
+    """S2-S5 with counts taken on the way: (deduplicated posts, counts of lines, counts of posts).
 
-    Two scalar aggregates: the line count is taken first and carried as a literal.
+    The observations are filled by the first action on the posts (their landing), so counting adds no scan and no shuffle.
     """
-    total = lines.agg(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
-    out = posts.agg(F.lit(total).cast("long").alias("total_lines"), F.count(F.lit(1)).alias("original_posts"))
-    if test_share is not None:
-        test = F.ceil(F.col("original_posts") * F.lit(float(test_share))).cast("bigint")
-        out = out.select("*", (F.col("original_posts") - test).alias("train_rows"), test.alias("test_rows"))
-    return out
+    schema = T.StructType([*CAPTURE_SCHEMA.fields, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = lines.select(F.col(value_col).alias("value"), F.explode(F.array(parsed)).alias("tweet"))
+    rows = rows.select("tweet", F.coalesce(drop_reason(), F.lit("")).alias("_reason"))
+    of_lines, of_posts = Observation(), Observation()
+    rows = rows.observe(of_lines, F.count(F.lit(1)).alias("total_lines"),
+                        *[F.count(F.when(F.col("_reason") == r, 1)).alias(r) for r in DROP_REASONS],
+                        F.count(F.when(F.col("_reason") == "", 1)).alias("observations"))
+    posts = dedup_posts(project_original(rows.where(F.col("_reason") == "")))
+    return posts.observe(of_posts, F.count(F.lit(1)).alias("original_posts")), of_lines, of_posts
+
+
+def ingest_counts(of_lines: Observation, of_posts: Observation, spark: SparkSession, k: int, test_share: float) -> DataFrame:
+    """One row with the lines, the dropped ones by reason, the posts, the repeated observations, the split and ``k``.
+
+    Call it after an action on ``counted_posts``'s posts.
+    """
+    lines, n = dict(of_lines.get), int(of_posts.get["original_posts"])
+    test = math.ceil(test_share * n)
+    row = {**{c: int(lines[c]) for c in ("total_lines", *DROP_REASONS, "observations")}, "repeated_observations": int(lines["observations"]) - n,
+           "original_posts": n, "train_rows": n - test, "test_rows": test, "k": k}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} long" for c in row))

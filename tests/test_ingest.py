@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from postcred.sources.captures import (ingest_counts, read_captures, read_posts, scan_captures,
+from postcred.sources.captures import (counted_posts, ingest_counts, read_captures, read_posts, scan_captures,
                                        filter_originals, project_original, dedup_posts)
 
 
@@ -53,7 +53,9 @@ def test_dedup_idempotent(spark):
 
 def test_ingest_counts(spark):
     lines = _lines_df(spark)
-    r = ingest_counts(lines, read_posts(lines), 0.23).first()
+    posts, of_lines, of_posts = counted_posts(lines)
+    assert posts.count() == 4
+    r = ingest_counts(of_lines, of_posts, spark, 3, 0.23).first()
     assert r["total_lines"] == len(LINES) and r["original_posts"] == 4
     assert (r["train_rows"], r["test_rows"]) == (3, 1)
 
