@@ -10,13 +10,16 @@ and keeps the latest observation per post in the state store.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from postcred.operators.classify import Network, mlp_fit
 from postcred.schemas import CAPTURE_SCHEMA, FEATURES, KEY
-from postcred.sources.captures import dedup_posts, CAPTURE_PATH_MARK, filter_originals, project_original
+from postcred.sources.captures import CAPTURE_PATH_MARK, ORDER, dedup_posts, filter_originals, project_original
 
 
 def capture_stream(spark: SparkSession, folder: str, path_contains: str = CAPTURE_PATH_MARK,
@@ -42,6 +45,70 @@ def latest_posts(stream: DataFrame, watermark: str = "7 days", key: Sequence[str
     return dedup_posts(stream.withWatermark("observed_at", watermark), key)
 
 
+#: State store that timers and expiring state need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LatestPost(StatefulProcessor):
+    """Keeps a post's latest observation and forgets it ``ttl_seconds`` of event time after that observation.
+
+    A row is emitted when an observation replaces the kept one, in the order of ``dedup_posts`` (time, retweets, text, the other columns).
+    """
+
+    def __init__(self, columns: Sequence[str], state_type: T.StructType, ttl_seconds: int):
+        self.columns, self.state_type, self.ttl = list(columns), state_type, ttl_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", self.state_type)
+
+    def _rank(self, row) -> tuple:
+        rest = [c for c in self.columns if c not in ORDER]
+        # Times from the state have a zone and those of rows have none: both are compared as seconds.
+        plain = {c: row[c].timestamp() if isinstance(row[c], datetime) else row[c] for c in (*ORDER, *rest)}
+        return tuple((v is not None, 0 if v is None else v) for v in plain.values())
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept = self.latest.get() if self.latest.exists() else None
+        best = None if kept is None else dict(zip(self.columns, kept))
+        changed = False
+        for r in rows:
+            new = {c: r[c] for c in self.columns}
+            if best is None or self._rank(new) > self._rank(best):
+                best, changed = new, True
+        if changed:
+            self.latest.update(tuple(best[c] for c in self.columns))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(best["observed_at"].timestamp() * 1000) + self.ttl * 1000)
+            yield Row(**dict(zip(KEY, key)), **best)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.latest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_posts(stream: DataFrame, keep: str = "7 days", late: str = "1 hour", key: Sequence[str] = KEY) -> DataFrame:
+    """Streaming S5 with bounded state: the latest observation per post; a post not seen for ``keep`` of event time leaves the state.
+
+    Observations more than ``late`` behind the newest one are dropped, and so are those without a time.  A post that comes back
+    after it left is emitted as a new one.  The session needs the RocksDB state store (``ROCKSDB``).
+    """
+    spark = stream.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+        raise RuntimeError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB}")
+    seconds = int(spark.sql(f"select cast(interval '{keep}' as interval day to second) i").selectExpr("cast(extract(day from i) as long) * 86400 + "
+                  "extract(hour from i) * 3600 + extract(minute from i) * 60 + cast(extract(second from i) as long) s").first()["s"])
+    columns = [c for c in stream.columns if c not in key]
+    state = T.StructType([T.StructField(c, stream.schema[c].dataType) for c in columns])
+    out = T.StructType([*[stream.schema[c] for c in key], *state.fields])
+    timed = stream.where(F.col("observed_at").isNotNull()).withWatermark("observed_at", late)
+    return timed.groupBy(*key).transformWithState(LatestPost(columns, state, seconds), out, "Update", "EventTime")
+
+
 class IncrementalTrainer:
     """``foreachBatch`` callback for M3: each micro-batch continues training from the last weights.
 

@@ -61,3 +61,34 @@ def test_trainer_goes_on_after_restart_and_replays_alike(spark):
     assert list(new().load(spark).flat()) == one
     assert list(new().load(spark, before=1).flat()) == zero
     assert new().load(spark, before=0) is None
+
+
+def test_posts_leave_the_state(spark, tmp_path):
+    """Late rows are dropped, a post not seen for two days is forgotten, and one that comes back counts as new."""
+    from postcred.streaming.incremental import ROCKSDB, expiring_posts
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    src, seen, sizes = tmp_path / "in" / "Flume", [], []
+    src.mkdir(parents=True)
+
+    def feed(name, *lines):
+        (src / f"{name}.json").write_text("\n".join(lines) + "\n")
+        out = expiring_posts(capture_stream(spark, str(tmp_path / "in")), keep="2 days", late="1 hour")
+        got = []
+        q = (out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck"))
+             .foreachBatch(lambda df, _: got.extend((r["screen_name"], r["retweet_count"]) for r in df.collect())).trigger(availableNow=True).start())
+        q.awaitTermination()
+        sizes.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+        seen.append(sorted(got))
+    try:
+        feed("a", _line("ann", 1, "Mon Jan 01 10:00:00 +0000 2018"), _line("ann", 4, "Mon Jan 01 12:00:00 +0000 2018"), _line("bo", 2, "Mon Jan 01 10:30:00 +0000 2018"))
+        feed("b", _line("bo", 1, "Mon Jan 01 09:00:00 +0000 2018"), _line("ann", 5, "Mon Jan 01 13:00:00 +0000 2018"))
+        feed("c", _line("cy", 1, "Wed Jan 10 10:00:00 +0000 2018"))
+        feed("d", _line("ann", 9, "Mon Jan 01 14:00:00 +0000 2018"), _line("dee", 3, "Wed Jan 10 11:00:00 +0000 2018"))
+        feed("e", _line("ann", 2, "Wed Jan 10 12:00:00 +0000 2018"))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert seen[0] == [("ann", 4), ("bo", 2)] and seen[1] == [("ann", 5)] and seen[2] == [("cy", 1)]
+    assert seen[3] == [("dee", 3)]  # the row of January 1st is behind the watermark
+    assert seen[4] == [("ann", 2)]  # forgotten, so fewer retweets than before are news again
+    assert sizes[3] < sizes[1] + 4  # ann and bo have gone
