@@ -60,13 +60,15 @@ class TextCnn:
             return np.empty((0, len(self.out)), np.float32)
         rows = np.zeros((len(ids) + pad * (n + 1), self.all.shape[1]), np.float32)
         rows[np.arange(len(ids)) + np.repeat(pad * np.arange(n), size)] = sum(self.emb[ids[:, k]] for k in range(ids.shape[1])) @ self.all
+        # Windows begin at a text's own words (at its padding if it has none), so none reaches into the next text.
         at, cols, c = first[:-1] + pad * np.arange(n), [], 0
+        borders = np.stack([at, at + np.maximum(size, 1)], axis=1).ravel()
         for f, b in zip(self.filters, self.bias):
             w, wide = len(f), f.shape[2]
             m = len(rows) - w + 1
             r = sum(rows[k:k + m, c + k * wide:c + (k + 1) * wide] for k in range(w))
             c += w * wide
-            cols.append(np.maximum(np.maximum.reduceat(r, at, axis=0) + b, 0))
+            cols.append(np.maximum(np.maximum.reduceat(r, borders, axis=0)[::2] + b, 0))
         return np.concatenate(cols, axis=1)
 
     def logits(self, ids, first) -> np.ndarray:
@@ -108,14 +110,14 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch:
             gap = np.zeros((pad, 1 + len(PREFIXES)), np.int32)
             ids = np.concatenate([np.concatenate([texts[r], gap]) for r in rows] + [gap])
             at = np.concatenate([[0], np.cumsum([len(texts[r]) + pad for r in rows])[:-1]])
-            ends = np.append(at[1:], len(ids) - pad)
+            ends = at + np.array([max(1, len(texts[r])) for r in rows])
             grad = {k: np.zeros_like(v) for k, v in p.items()}
             pools, where = [], []
             for i, w in enumerate(WIDTHS):
                 m = len(ids) - w + 1
                 x = sum(p["emb"][ids[:, k]] for k in range(ids.shape[1]))
                 r = sum(x[k:k + m] @ p[f"f{i}"][k] for k in range(w)) + p["bias"][i]
-                best = np.stack([a + r[a:b].argmax(axis=0) for a, b in zip(at, np.minimum(ends, m))])
+                best = np.stack([a + r[a:b].argmax(axis=0) for a, b in zip(at, ends)])
                 where.append(best)
                 pools.append(np.maximum(np.take_along_axis(r, best, axis=0), 0))
             h = np.concatenate(pools, axis=1)
