@@ -33,7 +33,7 @@ from postcred.session import scratch_dir
 CRLF = "\r\n"
 EPOCH = "2020-01-01 00:00:00"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 20_000
+RECORDS_PER_FILE, FILE_BYTES = 20_000, 256 << 20
 ROWS_PER_RANGE = 200_000
 
 
@@ -85,10 +85,25 @@ def record_text(rows: DataFrame) -> Column:
         line("Content-Length", F.octet_length(body).cast("string")), F.lit(CRLF), body)
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of at most ``file_bytes`` before compression (a larger record is a file of its own), one folder per size band.
+
+    All records of a band are at most its limit, so the record count of its files bounds their bytes whatever the mix of sizes.
+    """
     rows = with_record_type(pages)
-    (rows.select(record_text(rows).alias("value")).write.option("lineSep", CRLF + CRLF)
-     .option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
+    record = record_text(rows)
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    limits = [file_bytes >> 14, file_bytes >> 10, file_bytes >> 6, file_bytes >> 2]
+    band = F.lit(len(limits))
+    for k in range(len(limits) - 1, -1, -1):
+        band = F.when(size <= limits[k], F.lit(k)).otherwise(band)
+    for k in sorted(r["band"] for r in pages.select(band.alias("band")).distinct().collect()) or [0]:  # at most five rows
+        own = F.octet_length("payload")
+        low = F.lit(True) if k == 0 else own > limits[k - 1]
+        high = F.lit(True) if k == len(limits) else own <= limits[k]
+        most = min(records_per_file, file_bytes // limits[k] if k < len(limits) else 1)
+        (rows.where(low & high).select(record.alias("value")).write.option("lineSep", CRLF + CRLF)
+         .option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/band-{k}"))
 
 
 def records(content: bytes, step: int = 1 << 20):
@@ -172,7 +187,7 @@ def capture_runs(spark, path: str) -> DataFrame:
                 for lo in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo:lo + 10_000]), CAPTURE)],
                                                      schema=CAPTURE)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, CAPTURE_DDL)
 
 

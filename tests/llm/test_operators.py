@@ -169,6 +169,22 @@ def test_capture_history_is_globally_ordered(spark, odd, tmp_path):
     assert keys == sorted(keys) and len(rows) == pages.count()
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    """Small, middle and huge pages: no file holds more than its bytes, but for a record that is larger itself; all come back."""
+    import glob
+    import gzip
+    sizes = [5] * 40 + [90] * 30 + [1500] * 20 + [30_000] * 9 + [400_000]
+    df = spark.createDataFrame([(i, f"http://h/{i}", f"{i:05d}" + "x" * n) for i, n in enumerate(sizes)] + [(None, None, None)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    rows = warc.capture_history(df, path, file_bytes=1 << 17).collect()
+    assert sorted((r.page_id is None, r.page_id, r.payload_bytes) for r in rows if r.page_id is not None) == [(False, i, n + 5) for i, n in enumerate(sizes)]
+    assert len(rows) == len(sizes) + 1
+    for name in glob.glob(f"{path}/**/*.gz", recursive=True):
+        raw = gzip.decompress(open(name, "rb").read())
+        payload = sum(len(block.partition(b"\r\n\r\n")[2]) for _, _, block in warc.records(open(name, "rb").read()))
+        assert payload <= 1 << 17 or len(list(warc.records(open(name, "rb").read()))) == 1, len(raw)
+
+
 @pytest.fixture
 def two_minutes():
     """Fails a test that hangs in a library call, where an ordinary signal handler would never run."""
