@@ -33,7 +33,7 @@ from postcred.sources.adapter import capture_lines, conversation_lines
 from postcred.sources.captures import counted_posts, ingest_counts, read_posts
 from postcred.sources.lexicons import FIXTURE_SCORE_SQL
 from postcred.sources.store import PostStore
-from postcred.sources.tables import write_report
+from postcred.sources.tables import read_report, write_report
 
 K = list(KEY)
 CFG = P.PipelineConfig(k=len(FX.FIXED_CENTERS), algorithm="kmeans", compare_both=True)
@@ -195,8 +195,7 @@ def q_write_report(spark, sf):
     posts = P.posts_from_tables(spark, sf)
     report = TX.with_stored_text(posts).select(*K, "followers_count", "retweet_count", F.col("stored_text").alias("text"))
     path = write_report(report, scratch_dir(spark, "report"))
-    back = spark.read.schema(report.schema).option("sep", "\t").option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    return back.withColumn("text", F.coalesce("text", F.lit("")))
+    return read_report(spark, path, report.schema).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def fixed_queries():

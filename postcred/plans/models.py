@@ -28,7 +28,7 @@ from postcred.schemas import FEATURES, KEY
 from postcred.session import checkpoint_dir, scratch_dir
 from postcred.sources.captures import (dedup_posts, filter_originals, project_original, read_captures)
 from postcred.sources.adapter import write_capture_folder
-from postcred.sources.tables import read_feature_table, write_feature_table, write_report
+from postcred.sources.tables import read_feature_table, read_report, write_feature_table, write_report
 
 K = list(KEY)
 
@@ -411,7 +411,7 @@ def q_model_report(spark, sf):
     otc = P.otc_frame(posts, subj, cats)
     rep = model_report(posts, five, labelled, otc)
     path = write_report(rep, scratch_dir(spark, "model-report"))
-    return spark.read.option("sep", "\t").option("header", "true").option("multiLine", "true").csv(path)
+    return read_report(spark, path)
 
 
 def q_nmf_model(spark, sf):

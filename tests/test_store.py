@@ -99,3 +99,12 @@ def test_landed_entries_can_be_released(spark):
     P.release_landed(spark)
     P.land_posts(spark.createDataFrame([("a", "b", 1)], "screen_name string, created_at string, v int"), buckets=2)
     assert P.release_landed(spark) == 1 and P.release_landed(spark) == 0
+
+
+def test_report_round_trip(spark, tmp_path):
+    """Quotes, backslashes, tabs and empty texts survive the tab-separated report."""
+    from postcred.sources.tables import read_report, write_report
+    texts = ['say "hi"', "back\\slash", 'end\\', '\\"both\\"', "tab\there", '"', "é 😀", "line one\nline two", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    path = write_report(df, str(tmp_path / "r"))
+    assert {r.i: r.text for r in read_report(spark, path, df.schema).collect()} == dict(enumerate(texts))
