@@ -11,7 +11,6 @@ Defined results: null or wordless texts have zero counts and shares and fail the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -131,17 +130,18 @@ def quality_rows(base: DataFrame, gram_limits=None, line_limit=LINE_LIMIT) -> Da
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` without the rows that the rules reject.  The verdict depends on the text alone."""
-    verdict = F.pandas_udf(_kept_udf(**limits), "boolean")
+    verdict = F.arrow_udf(_kept_udf(**limits), "boolean")
     return docs.where(verdict(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def _kept_udf(gram_limits=None, line_limit=LINE_LIMIT):
     limits = dict(gram_limits or GRAM_LIMITS)
 
-    def kept(texts: pd.Series) -> pd.Series:
-        data, offs = utf8(pa.array(texts, pa.large_string(), from_pandas=True))
+    def kept(texts: pa.Array) -> pa.Array:
+        # Bytes are measured where they lie: no Python string is made of a text.
+        data, offs = utf8(texts)
         parts = [judge(measure(data, offs[lo:hi + 1], tuple(limits)), limits, line_limit)[1] for lo, hi in row_blocks(offs)]
-        return pd.Series(np.concatenate(parts) if parts else np.empty(0, bool))
+        return pa.array(np.concatenate(parts) if parts else np.empty(0, bool))
     return kept
 
 
