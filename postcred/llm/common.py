@@ -25,6 +25,15 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a ``stored`` table that nothing refers to any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/postcred-llm-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(__row struct of every caller column, id, text, rk): ``rk`` tells rows of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
