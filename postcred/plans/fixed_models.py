@@ -58,10 +58,7 @@ def fixed_network() -> MC.Network:
 
 def _fitted(spark, sf):
     """(posts, five features, scaler statistics, standardised features, sentiment lexicon, topic weights) of ``documents``; posts landed once."""
-    posts = P.land_posts(P.posts_from_tables(spark, sf))
-    sent, _, _ = P.fixture_lexicons(posts)
-    weights = P.topic_word_weights(*P.fixture_topic_tables(posts, P.stored_tokens(posts)), mode="marginal")
-    five = P.land(P.five_feature_frame(posts, sent, weights))
+    posts, five, sent, weights = P.fixture_fit(spark, sf)
     stats = FE.standardize_fit(FE.abs_features(five))
     return posts, five, stats, FE.standardize_apply(FE.abs_features(five), stats), sent, weights
 
@@ -96,7 +93,7 @@ def q_merge_posts(spark, sf):
 
 def q_lexicon_emoticons(spark, sf):
     """Word valences plus valences of raw tokens with a sign in them."""
-    posts = P.land_posts(P.posts_from_tables(spark, sf))
+    posts = P.landed_posts(spark, sf)
     sent, _, _ = P.fixture_lexicons(posts)
     signs = posts.select(F.explode(split_ws("text")).alias("term")).where(F.col("term").rlike(EMOTICON_SIGN)).distinct()
     signs = signs.select("term", F.expr(FIXTURE_SCORE_SQL).cast("int").alias("score")).where("score <> 0").withColumn("kind", F.lit("emoticon"))
@@ -105,14 +102,14 @@ def q_lexicon_emoticons(spark, sf):
 
 def q_lexicon_large(spark, sf):
     """The sentiment scores with a lexicon that is treated as beyond the broadcast bound."""
-    posts = P.land_posts(P.posts_from_tables(spark, sf))
+    posts = P.landed_posts(spark, sf)
     sent, _, _ = P.fixture_lexicons(posts)
     return lexicon_sentiment(posts, sent, max_broadcast_rows=0)
 
 
 def q_phrase_sentiment(spark, sf):
     """Words, and as phrases the bigrams that the posts hold 20 times or more."""
-    posts = P.land_posts(P.posts_from_tables(spark, sf))
+    posts = P.landed_posts(spark, sf)
     sent, _, _ = P.fixture_lexicons(posts)
     pairs = TX.bigram_counts(P.comparison_text(posts), tokens="stokens").groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n >= 20")
     phrases = pairs.select(F.concat_ws(" ", "w1", "w2").alias("term")).select("term", F.expr(FIXTURE_SCORE_SQL).cast("int").alias("score"), F.lit("word").alias("kind"))

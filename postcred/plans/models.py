@@ -278,13 +278,13 @@ SMALL = P.PipelineConfig(k=3, algorithm="kmeans", compare_both=True, topics=10,
 
 
 def _posts_and_lex(spark, sf):
-    posts = P.posts_from_tables(spark, sf)
+    posts = P.landed_posts(spark, sf)
     sent, subj, cats = P.fixture_lexicons(posts)
     return posts, sent, subj, cats
 
 
 def _fitted_topics(spark, sf):
-    ltok = P.stored_tokens(P.land_posts(P.posts_from_tables(spark, sf)))
+    ltok = P.stored_tokens(P.landed_posts(spark, sf))
     return ltok, TP.fit_topics(ltok, "ltokens", k=SMALL.topics, seed=SMALL.seed)
 
 
@@ -310,7 +310,7 @@ def q_lda_five_features(spark, sf):
 
 
 def _fixture_feats(spark, sf):
-    five = P.land(P.fixture_five_features(spark, sf))
+    five = P.fixture_five_features(spark, sf)
     stats = FE.standardize_fit(FE.abs_features(five))
     return five, P.land(FE.standardize_apply(FE.abs_features(five), stats)).persist()
 
@@ -438,8 +438,7 @@ def q_external_feature_table(spark, sf):
 def _external(spark, sf):
     """Fit on the first capture folder, score the later capture of the same posts: (scored, later posts)."""
     root = write_capture_folder(spark, sf)
-    first = dedup_posts(project_original(filter_originals(read_captures(spark, f"{root}/FlumeData-1"))))
-    later = dedup_posts(project_original(filter_originals(read_captures(spark, f"{root}/FlumeData-2"))))
+    first, later = (P.land_posts(dedup_posts(project_original(filter_originals(read_captures(spark, f"{root}/FlumeData-{i}"))))) for i in (1, 2))
     sent, _, _ = P.fixture_lexicons(first)
     cfg = P.PipelineConfig(k=3, algorithm="kmeans", topics=10, mlp_max_iter=100)
     five, art = model_features(spark, first, sent, cfg)
