@@ -140,3 +140,30 @@ def test_no_vocabulary_in_the_driver(spark):
     rows = spark.range(3000).select(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), (F.col("id") * 100 + i).cast("string"))).alias("tokens"))
     model = TP.fit_topics(rows, k=4, chunk_size=2000)
     assert model.words.count() == 300_000 and len(model.totals) == 4
+
+
+def test_rows_sent_on_give_the_whole_table_of_plain_chunks(spark):
+    """Chunks that hold different terms: rows are read where their terms are, and equal the algorithm that blends the whole table each step."""
+    docs = texts(11, 30) + [["only", "once"], [], ["t0w0", "rare"]]
+    df = frame(spark, docs)
+    k, passes, size = 3, 2, 7
+    model = TP.fit_topics(df, k=k, passes=passes, chunk_size=size, seed=5)
+    chunks = math.ceil(len(docs) / size)
+    numbered = df.select(F.monotonically_increasing_id().alias("post"), F.col("tokens").alias("toks"))
+    dealt = {}
+    for r in TP._bags(numbered, None, chunks).collect():
+        dealt.setdefault(r.block % chunks, {}).setdefault(r.post, []).extend([r.term] * int(r.n))
+    names = sorted({w for d in docs for w in d})
+    lam = {r.term: list(r.lam) for r in spark.createDataFrame([(w,) for w in names], "term string").select("term", TP.start_counts(F.col("term"), k, 5).alias("lam")).collect()}
+    step = 0
+    for _ in range(passes):
+        for c in range(chunks):
+            new, _ = plain_pass(list(dealt.get(c, {}).values()), lam, k, 1 / k, 0.0)
+            rho = (1 + step) ** -0.5
+            lam = {w: [(1 - rho) * a + rho * (1 / k + chunks * b) for a, b in zip(lam[w], new[w])] for w in lam}
+            step += 1
+    got = table(model)
+    assert got.keys() == lam.keys()
+    for w in lam:
+        assert got[w] == pytest.approx(lam[w], rel=1e-6)
+    assert model.totals == pytest.approx([sum(v[t] for v in lam.values()) for t in range(k)], rel=1e-6)
