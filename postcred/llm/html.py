@@ -11,7 +11,9 @@ shards (a run takes that share of the pages, so there are at most 1 / ``min_shar
 The tokens they cover leave ``open`` blocks; the rest stays.  ``out`` blocks only feed the counts.
 
 A ``main`` block is kept or left whole, for lines recur in articles too: it is boilerplate if it stands on ``min_pages`` and on more
-than half of the host's distinct marked pages (those that differ in their main blocks), counted over the whole host.  A page
+than half of the host's distinct marked pages (those that differ in their main blocks).  Suffix arrays over shards of these pages nominate
+the blocks all of whose token runs, from their first to their last word, stand on more than half of a shard's pages; whatever
+more than half of the host's pages hold is so in one shard at least.  The nominated blocks are then counted over the whole host.  A page
 that would lose more than half of its main text so is a copy of others, not an article with boilerplate, and keeps all of it.
 
 Pages with equal open blocks (with main blocks: equal main blocks; with neither: equal blocks) count as one page, so copies that
@@ -27,6 +29,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -293,18 +296,61 @@ def _texts(place: str) -> Column:
     return F.transform(F.filter("blocks", lambda b: b["place"] == place), lambda b: b["text"])
 
 
-def common_blocks(marked: DataFrame, min_pages: int) -> DataFrame:
-    """(c_h, common): per host the hashes of main blocks on ``min_pages`` and more than half of its distinct pages; few, as each takes half."""
+def recurring_blocks(pages: list[list[str]], run_tokens: int) -> list[list[bool]]:
+    """Which blocks of the pages (all distinct) have only token runs that stand on more than half of the pages.
+
+    A block has a mark before its first word and ``run_tokens`` - 1 behind its last one, so its runs tell where it begins and ends, and a
+    block of fewer words is one run.
+    """
+    tail = " \1" * (run_tokens - 1)
+    joined = pa.array([" ".join(f"\0 {t}{tail}" for t in blocks) for blocks in pages], pa.large_string())
+    words = pc.split_pattern(joined, " ")
+    sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    page = np.repeat(np.arange(len(pages)), sizes)
+    order, new_run = sorted_runs(words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), page, run_tokens)
+    p = page[order]
+    group = np.cumsum(new_run) - 1
+    held = np.bincount(group, weights=new_run | np.concatenate([[True], p[1:] != p[:-1]])[:len(p)])
+    hit = np.zeros(len(page) + 1, np.int64)
+    hit[order[2 * held[group] > len(pages)] + 1] = 1
+    hits, at, out = np.cumsum(hit), np.cumsum(sizes) - sizes, []
+    for start, blocks in zip(at.tolist(), pages):
+        out.append([])
+        for t in blocks:
+            n = t.count(" ") + 2  # runs that begin at the mark or a word
+            out[-1].append(bool(hits[start + n] - hits[start] == n))
+            start += n + run_tokens - 1
+    return out
+
+
+def nominated_blocks(marked: DataFrame, run_tokens: int, min_pages: int, shard_bytes: int) -> DataFrame:
+    """(n_h, n_block): the host and hash of every main block that recurs in a shard of the host's distinct pages."""
+    pages = stored(marked.select("h", "content", "main").dropDuplicates(["h", "content"]), "html-marked")
+    size = F.aggregate("main", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
+    hosts = pages.groupBy(F.col("h").alias("m_h")).agg(F.ceil(F.sum(size) / shard_bytes).alias("shards"), F.count(F.lit(1)).alias("pages"))
+    dealt = pages.join(hosts.where(F.col("pages") >= min_pages), F.col("h") == F.col("m_h"))
+    dealt = dealt.select("h", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "main", F.transform("main", lambda t: F.xxhash64(t)).alias("hashes"))
+
+    def run(table: pa.Table) -> pa.Table:
+        found = recurring_blocks(table.column("main").to_pylist(), run_tokens)
+        hashes = {h for page, hs in zip(found, table.column("hashes").to_pylist()) for hit, h in zip(page, hs) if hit}
+        return pa.table({"n_h": np.full(len(hashes), table.column("h")[0].as_py(), np.int64), "n_block": pa.array(sorted(hashes), pa.int64())})
+    return dealt.groupBy("h", "shard").applyInArrow(run, "n_h long, n_block long").distinct()
+
+
+def common_blocks(marked: DataFrame, nominated: DataFrame, min_pages: int) -> DataFrame:
+    """(c_h, common): per host the hashes of nominated main blocks on ``min_pages`` and more than half of its distinct pages; few, as each takes half."""
     pages = marked.groupBy(F.col("h").alias("p_h")).agg(F.countDistinct("content").alias("pages"))
     each = marked.select("h", "content", F.explode(F.array_distinct(F.transform("main", lambda t: F.xxhash64(t)))).alias("block"))
+    each = each.join(nominated, (F.col("h") == F.col("n_h")) & (F.col("block") == F.col("n_block")), "left_semi")
     often = each.groupBy("h", "block").agg(F.countDistinct("content").alias("n")).where(F.col("n") >= min_pages)
     often = often.join(pages, F.col("h") == F.col("p_h")).where(2 * F.col("n") > F.col("pages"))
     return often.groupBy(F.col("h").alias("c_h")).agg(F.collect_list("block").alias("common"))
 
 
-def marked_texts(marked: DataFrame, min_pages: int) -> DataFrame:
+def marked_texts(marked: DataFrame, run_tokens: int, min_pages: int, shard_bytes: int) -> DataFrame:
     """(page_id, url, text) of pages with main blocks."""
-    common = stored(common_blocks(marked, min_pages), "html-blocks")
+    common = stored(common_blocks(marked, nominated_blocks(marked, run_tokens, min_pages, shard_bytes), min_pages), "html-blocks")
     rows = marked.join(common, F.col("h") == F.col("c_h"), "left")
     whole = F.array_join("main", "\n\n")
     left = F.array_join(F.filter("main", lambda t: ~F.array_contains("common", F.xxhash64(t))), "\n\n")
@@ -352,7 +398,7 @@ def extract(pages: DataFrame, run_tokens: int = RUN_TOKENS, min_pages: int = MIN
     rows = rows.withColumn("content", content)
     marked = rows.where("marked").select("page_id", "url", "h", "main", "content")
     bare = rows.where(~F.col("marked") & ~F.col("open")).select("page_id", "url", F.lit("").alias("text"))
-    texts = marked_texts(marked, min_pages).unionByName(open_texts(rows, run_tokens, min_pages, min_share, shard_bytes)).unionByName(bare)
+    texts = marked_texts(marked, run_tokens, min_pages, shard_bytes).unionByName(open_texts(rows, run_tokens, min_pages, min_share, shard_bytes)).unionByName(bare)
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
