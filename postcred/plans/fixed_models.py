@@ -97,14 +97,14 @@ def q_lexicon_emoticons(spark, sf):
     sent, _, _ = P.fixture_lexicons(posts)
     signs = posts.select(F.explode(split_ws("text")).alias("term")).where(F.col("term").rlike(EMOTICON_SIGN)).distinct()
     signs = signs.select("term", F.expr(FIXTURE_SCORE_SQL).cast("int").alias("score")).where("score <> 0").withColumn("kind", F.lit("emoticon"))
-    return lexicon_sentiment(posts, sent.unionByName(signs))
+    return lexicon_sentiment(posts, sent.unionByName(signs), landed=True)
 
 
 def q_lexicon_large(spark, sf):
     """The sentiment scores with a lexicon that is treated as beyond the broadcast bound."""
     posts = P.landed_posts(spark, sf)
     sent, _, _ = P.fixture_lexicons(posts)
-    return lexicon_sentiment(posts, sent, max_broadcast_rows=0)
+    return lexicon_sentiment(posts, sent, max_broadcast_rows=0, landed=True)
 
 
 def q_phrase_sentiment(spark, sf):
@@ -167,8 +167,8 @@ def _external(spark, sf, through_file: bool = False):
         path = scratch_dir(spark, "bundle")
         M.save_bundle(bundle, path, sent)
         bundle, sent = M.load_bundle(spark, path)
-    other = P.land_posts(read_posts(conversation_lines(spark, sf)).drop("observed_at"))
-    return M.score_external(spark, bundle, other, sent), other
+    other = P.landed_tokens(read_posts(conversation_lines(spark, sf)).drop("observed_at"))
+    return P.land(M.score_external(spark, bundle, other, sent, landed=True)), other
 
 
 def q_external_fixed(spark, sf):
