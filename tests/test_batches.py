@@ -79,3 +79,11 @@ def test_landed_tokens_need_no_exchange_downstream(spark, sf_small):
     weights = spark.createDataFrame([("cat", 0.5)], "term string, weight double")
     plan = P.five_feature_frame(posts, lex, weights, landed=True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan.split("InMemoryRelation")[0] and "ArrowEvalPython" not in plan
+
+
+def test_otc_needs_no_exchange_after_its_landing(spark, sf_small):
+    posts = P.landed_posts(spark, sf_small)
+    subj = spark.createDataFrame([("cat", 0.5)], "term string, subjectivity double")
+    cats = spark.createDataFrame([("money", "cat")], "category string, term string")
+    plan = P.otc_frame(posts, subj, cats)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(screen_name" not in plan and "ArrowEvalPython" not in plan
