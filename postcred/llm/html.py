@@ -33,9 +33,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postcred.llm.common import runs, span_hashes, stored, utf8
+from postcred.llm.common import runs, sent, span_hashes, stored, utf8
 
 RUN_TOKENS, MIN_PAGES, MIN_SHARE, SHARD_BYTES = 6, 3, 0.01, 4 << 20
+#: Characters of pages that a task packs together before they move.
+PACK_CHARS = 16 << 20
 
 #: Elements whose text is never shown, and elements that are not the article wherever they stand.
 SILENT = frozenset("script style noscript template svg math head title iframe object canvas select option textarea audio video".split())
@@ -323,19 +325,63 @@ def recurring_blocks(pages: list[list[str]], run_tokens: int) -> list[list[bool]
     return out
 
 
+def packed_pages(batches):
+    """(h, shard, contents, size, data) of (h, shard, content, main): the distinct pages that a task has of a shard, their blocks compressed together.
+
+    Blocks hold no line ends and no separators (white space inside them is one space), so these part blocks and pages.
+    """
+    seen: set[tuple[int, int]] = set()
+    held: dict[tuple[int, int], list[tuple[int, str]]] = {}
+    size = 0
+    for b in batches:
+        for h, shard, content, main in zip(*[c.to_pylist() for c in b.columns]):
+            if (h, content) not in seen:
+                seen.add((h, content))
+                held.setdefault((h, shard), []).append((content, "\n".join(main)))
+                size += len(held[h, shard][-1][1])
+        if size >= PACK_CHARS:
+            yield _packs(held)
+            held, size = {}, 0
+    if held:
+        yield _packs(held)
+
+
+def _packs(held: dict[tuple[int, int], list[tuple[int, str]]]) -> pa.RecordBatch:
+    texts = ["\x1c".join(t for _, t in pages).encode() for pages in held.values()]
+    return pa.RecordBatch.from_arrays([
+        pa.array([h for h, _ in held], pa.int64()), pa.array([s for _, s in held], pa.int64()),
+        pa.array([[c for c, _ in pages] for pages in held.values()], pa.list_(pa.int64())), pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())], ["h", "shard", "contents", "size", "data"])
+
+
+def unpacked_pages(table: pa.Table) -> list[list[str]]:
+    """The main blocks of a shard's pages, each page once."""
+    pages: dict[int, str] = {}
+    for contents, size, data in zip(*[table.column(c).to_pylist() for c in ("contents", "size", "data")]):
+        text = pa.decompress(data, size, "zstd", asbytes=True).decode() if size else ""
+        pages.update(zip(contents, text.split("\x1c")))
+    return [pages[c].split("\n") for c in sorted(pages)]
+
+
 def nominated_blocks(marked: DataFrame, run_tokens: int, min_pages: int, shard_bytes: int) -> DataFrame:
-    """(n_h, n_block): the host and hash of every main block that recurs in a shard of the host's distinct pages."""
-    pages = stored(marked.select("h", "content", "main").dropDuplicates(["h", "content"]), "html-marked")
+    """(n_h, n_block): the host and hash of every main block that recurs in a shard of the host's distinct pages.
+
+    A page's shard follows from its content, so copies meet in their shard: texts move once, packed, and each task sends a copy once.
+    """
     size = F.aggregate("main", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
-    hosts = pages.groupBy(F.col("h").alias("m_h")).agg(F.ceil(F.sum(size) / shard_bytes).alias("shards"), F.count(F.lit(1)).alias("pages"))
-    dealt = pages.join(hosts.where(F.col("pages") >= min_pages), F.col("h") == F.col("m_h"))
-    dealt = dealt.select("h", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "main", F.transform("main", lambda t: F.xxhash64(t)).alias("hashes"))
+    pages = marked.groupBy("h", "content").agg(F.max(size).alias("bytes"))
+    hosts = pages.groupBy(F.col("h").alias("m_h")).agg(F.ceil(F.sum("bytes") / shard_bytes).alias("shards"), F.count(F.lit(1)).alias("pages"))
+    hosts = stored(hosts.where(F.col("pages") >= min_pages).select("m_h", "shards"), "html-marked")
+    dealt = marked.join(sent(hosts), F.col("h") == F.col("m_h"))
+    dealt = dealt.select("h", F.pmod(F.xxhash64("content"), "shards").alias("shard"), "content", "main")
+    packs = dealt.mapInArrow(packed_pages, "h long, shard long, contents array<long>, size long, data binary").repartition("h", "shard")
 
     def run(table: pa.Table) -> pa.Table:
-        found = recurring_blocks(table.column("main").to_pylist(), run_tokens)
-        hashes = {h for page, hs in zip(found, table.column("hashes").to_pylist()) for hit, h in zip(page, hs) if hit}
-        return pa.table({"n_h": np.full(len(hashes), table.column("h")[0].as_py(), np.int64), "n_block": pa.array(sorted(hashes), pa.int64())})
-    return dealt.groupBy("h", "shard").applyInArrow(run, "n_h long, n_block long").distinct()
+        pages = unpacked_pages(table)
+        found = {t for page, hits in zip(pages, recurring_blocks(pages, run_tokens)) for t, hit in zip(page, hits) if hit}
+        return pa.table({"n_h": np.full(len(found), table.column("h")[0].as_py(), np.int64), "text": pa.array(sorted(found), pa.string())})
+    found = packs.groupBy("h", "shard").applyInArrow(run, "n_h long, text string")
+    return found.select("n_h", F.xxhash64("text").alias("n_block")).distinct()
 
 
 def common_blocks(marked: DataFrame, nominated: DataFrame, min_pages: int) -> DataFrame:
@@ -369,8 +415,8 @@ def open_texts(pages: DataFrame, run_tokens: int, min_pages: int, min_share: flo
     hosts = pages.groupBy(F.col("h").alias("o_h")).agg(F.sum(size).alias("bytes"), F.max("open").alias("open"), F.countDistinct("content").alias("pages"))
     least = F.greatest(F.lit(min_pages).cast("long"), F.ceil(F.col("pages") * min_share))
     hosts = stored(hosts.where("open").select("o_h", F.ceil(F.col("bytes") / shard_bytes).alias("shards"), least.alias("least")), "html-hosts")
-    dealt = pages.join(hosts, F.col("h") == F.col("o_h")).withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), "shards"))
-    dealt = dealt.select("h", "shard", "page_id", "url", "blocks", "open", "content")
+    dealt = pages.join(sent(hosts), F.col("h") == F.col("o_h")).withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), "shards"))
+    dealt = dealt.select("h", "shard", "page_id", "url", "blocks", "open", "content")  # dealt by host and shard: a host is not one task
 
     def count(table: pa.Table) -> pa.Table:
         run, content = shard_runs(_blocks(table), table.column("content").to_numpy(), run_tokens)
@@ -391,7 +437,7 @@ def extract(pages: DataFrame, run_tokens: int = RUN_TOKENS, min_pages: int = MIN
     """(page_id, url, text, n_chars), one row per row of ``pages`` (page_id, url, html)."""
     html = F.coalesce("html", F.lit(""))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = stored(parsed_pages(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(host).alias("h"), html.alias("html"))), "html-parsed")
+    rows = stored(parsed_pages(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(host).alias("h"), html.alias("html"))), "html-parsed", compression="zstd")
     rows = rows.withColumn("main", _texts("main")).withColumn("marked", F.size("main") > 0)
     rows = rows.withColumn("open", ~F.col("marked") & F.exists("blocks", lambda b: b["place"] == "open"))
     content = F.when(F.col("marked"), F.xxhash64("main")).when(F.col("open"), F.xxhash64(_texts("open"))).otherwise(F.xxhash64("blocks"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from postcred.llm import html as H
@@ -39,3 +40,25 @@ def test_main_boilerplate_goes_through_the_suffix_arrays(spark, monkeypatch, sha
     assert got[100] == f"read more\n\n{own[0]}\n\na long line that stands on every page of the host"
     monkeypatch.setattr(H, "nominated_blocks", lambda marked, *_: spark.createDataFrame([], "n_h long, n_block long"))
     assert all("read more" in r.text for r in H.extract(df, shard_bytes=shard_bytes).collect())  # nothing is dropped but by them
+
+
+def test_packed_pages_hold_each_page_once(monkeypatch):
+    monkeypatch.setattr(H, "PACK_CHARS", 30)
+    rows = [(1, 0, 7, ["a b", "c"]), (1, 1, 8, ["d \0 e"]), (1, 0, 7, ["a b", "c"]), (2, 0, 7, ["f"]), (1, 0, 9, ["a long text of many words", "\u00e9 g"]), (1, 0, 7, ["a b", "c"]), (1, 0, 5, ["h"])]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("h", "shard", "content", "main"), r)) for r in part]) for part in (rows[:3], rows[3:5], rows[5:])]
+    packs = pa.Table.from_batches(list(H.packed_pages(iter(batches))))
+    assert sorted(c for x in packs.column("contents").to_pylist() for c in x) == [5, 7, 7, 8, 9]
+    shard = pa.Table.from_pylist([r for r in packs.to_pylist() if (r["h"], r["shard"]) == (1, 0)] * 2)  # copies from two tasks
+    assert H.unpacked_pages(shard) == [["h"], ["a b", "c"], ["a long text of many words", "\u00e9 g"]]
+
+
+def test_main_texts_move_once_and_not_by_host(spark, monkeypatch):
+    kept, real, plans = {}, H.stored, []
+    monkeypatch.setattr(H, "stored", lambda df, name, *a, **k: kept.setdefault(name, real(df, name, *a, **k)))
+    nominated = H.nominated_blocks
+    monkeypatch.setattr(H, "nominated_blocks", lambda *a: plans.append(nominated(*a)) or plans[0])
+    rows = [(i, f"http://a.org/{i}", f"<article><p>read more</p><p>text number {i} of the host</p></article>") for i in range(9)]
+    H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert "main" not in kept["html-marked"].columns
+    exchanges = [line for line in plans[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(exchanges) == 2 and "shard" in exchanges[1] and "n_block" in exchanges[0]  # the packed texts, and what they nominate
