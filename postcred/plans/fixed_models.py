@@ -97,14 +97,14 @@ def q_lexicon_emoticons(spark, sf):
     sent, _, _ = P.fixture_lexicons(posts)
     signs = posts.select(F.explode(split_ws("text")).alias("term")).where(F.col("term").rlike(EMOTICON_SIGN)).distinct()
     signs = signs.select("term", F.expr(FIXTURE_SCORE_SQL).cast("int").alias("score")).where("score <> 0").withColumn("kind", F.lit("emoticon"))
-    return lexicon_sentiment(posts, sent.unionByName(signs), landed=True)
+    return lexicon_sentiment(posts, sent.unionByName(signs), landed=True, unique=True)
 
 
 def q_lexicon_large(spark, sf):
     """The sentiment scores with a lexicon that is treated as beyond the broadcast bound."""
     posts = P.landed_posts(spark, sf)
     sent, _, _ = P.fixture_lexicons(posts)
-    return lexicon_sentiment(posts, sent, max_broadcast_rows=0, landed=True)
+    return lexicon_sentiment(posts, sent, max_broadcast_rows=0, landed=True, unique=True)
 
 
 def q_phrase_sentiment(spark, sf):

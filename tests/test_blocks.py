@@ -59,6 +59,43 @@ def test_distinct_tokens_move_not_words(spark, tmp_path, monkeypatch):
     assert seen["lookup-terms"].count() <= 100 * 4 * blocks
 
 
+@pytest.mark.parametrize("block_bytes", [4 << 20, 200])
+def test_unique_posts_share_blocks_in_their_order(spark, monkeypatch, block_bytes):
+    """Same results as the broadcast join for texts and token arrays, with null and empty ones; a task has as many chunks as its texts fill."""
+    monkeypatch.setattr(B, "BLOCK_BYTES", block_bytes)
+    posts = posts_of(spark, 7).withColumn("created_at", F.monotonically_increasing_id().cast("string")).localCheckpoint()
+    sent = spark.createDataFrame([("good", 3, "word"), ("bad", -3, "word"), (":)", 2, "emoticon"), ("é", None, "word")], "term string, score int, kind string")
+    weights = spark.createDataFrame([("good", 0.5), ("bad", None), ("wow", 2.0)], "term string, weight double")
+    tokens = posts.withColumn("tokens", F.split("text", " "))
+    seen, real = {}, B.written
+    monkeypatch.setattr(B, "written", lambda df, name: seen.setdefault(name, real(df, name)) if not seen else real(df, name))
+    for op in (lambda n: LX.lexicon_sentiment(posts, sent, max_broadcast_rows=n, unique=True),
+               lambda n: topic_doc_weight(tokens, weights, max_broadcast_rows=n, unique=True)):
+        same(op(0), op(1000))
+    assert list(seen) == ["lookup-terms"]  # the posts are not written, even if they are not landed
+    chunks = seen["lookup-terms"].where("_row IS NOT NULL").groupBy("_chunk").agg(F.count(F.lit(1)).alias("n"), F.count("_codes").alias("codes")).collect()
+    assert all(c.codes == 1 for c in chunks) and sum(c.n for c in chunks) == 84
+    assert len(chunks) == 5 if block_bytes > 200 else len(chunks) > 10
+
+
+def test_tokens_of_a_task_are_sent_once_whatever_the_blocks(spark, monkeypatch):
+    """8 000 posts in a task, with 4 shuffle partitions and texts of 5 blocks: each of 50 words moves once per block, not once per batch and block."""
+    monkeypatch.setattr(B, "BLOCK_BYTES", 64_000)
+    posts = spark.range(0, 8_000, 1, 1).select(F.col("id").cast("string").alias("screen_name"), F.lit("t").alias("created_at"),
+                                               F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), ((F.col("id") + i) % 50 + 10).cast("string"))), " ").alias("text"))
+    lex = spark.range(10, 60).select(F.concat(F.lit("w"), "id").alias("term"), F.lit(1).alias("score"), F.lit("word").alias("kind"))
+    seen, real = {}, B.written
+    monkeypatch.setattr(B, "written", lambda df, name: seen.setdefault(name, real(df, name)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert {r["positive"] for r in LX.lexicon_sentiment(posts, lex, max_broadcast_rows=0, landed=True, unique=True).collect()} == {10}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    blocks = seen["lookup-terms"].select("_chunk").distinct().count()
+    assert blocks == 5 and seen["lookup-terms"].where("_word IS NOT NULL").count() == 50 * blocks
+
+
 def test_posts_are_parsed_once_for_the_features(spark, sf_small):
     """What the feature queries return reads landed tables: no capture line is parsed again for a second use."""
     plan = P.fixture_five_features(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
