@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from postcred.functions import batches as AB
-from postcred.functions.text import clean_tokens
+from postcred.functions.text import clean_tokens, strip_newlines
 from postcred.operators import blocks as B
 from postcred.operators import lexicon as LX
 from postcred.operators import text as TX
+from postcred.operators.topics import topic_doc_weight
 from postcred.plans import pipeline as P
 from postcred.sources.adapter import capture_lines
 from postcred.sources.captures import filter_originals, parse_posts, project_original
@@ -87,3 +88,39 @@ def test_otc_needs_no_exchange_after_its_landing(spark, sf_small):
     cats = spark.createDataFrame([("money", "cat")], "category string, term string")
     plan = P.otc_frame(posts, subj, cats)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(screen_name" not in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("work_bytes", [4 << 20, 300])
+def test_landed_texts_equal_the_token_arrays(spark, monkeypatch, work_bytes):
+    """Entropy and stored tokens as by the expressions, also where a newline's loss changes the small form of a sigma; the terms are the distinct tokens."""
+    monkeypatch.setattr(AB, "WORK_BYTES", work_bytes)
+    rows = [(str(i), "t", t) for i, t in enumerate([*texts(), "ΑΒΣ\nΑ bbb", "ΟΔΟΣ\nxyz ΣΣΣ\n", "abc\nΣΣΣ", "one\ntwo"])]
+    posts = spark.createDataFrame(rows, "screen_name string, created_at string, text string").repartition(3)
+    plain = TX.with_text_stats(posts.withColumn("tokens", clean_tokens("text"))).withColumn("ltokens", clean_tokens(strip_newlines("text")))
+    expected = {r.screen_name: r for r in plain.collect()}
+    landed = P.landed_texts(posts)
+    for r in landed.collect():
+        assert r.ltokens == (None if r.text is None else " ".join(expected[r.screen_name].ltokens))
+        assert r.entropy == pytest.approx(expected[r.screen_name].entropy, abs=1e-12)
+    for terms, column in zip(P.landed_terms(landed), ("tokens", "ltokens")):
+        assert sorted(r.term for r in terms.collect()) == sorted({w for e in expected.values() for w in e[column] or []} - {""})
+
+
+def test_the_features_land_no_token_arrays(spark, sf_small, monkeypatch):
+    """What is landed with the posts is a text or a number: arrays of tokens take many times the memory of the text in the sort of the landing."""
+    seen, real = [], P.land_posts
+    monkeypatch.setattr(P, "land_posts", lambda df, buckets=None: seen.append(df.schema) or real(df, buckets))
+    assert P.fixture_five_features(spark, sf_small).count() > 0
+    assert len(seen) == 1 and "array" not in seen[0].simpleString()
+
+
+def test_topic_weights_of_joined_tokens(spark):
+    """Tokens joined by a space weigh what their array weighs, by either join; null and empty ones weigh nothing."""
+    d = spark.createDataFrame([("a", "1", ["x", "", "y", "x"]), ("b", "1", []), ("c", "1", None), ("d", "1", ["z"])], "screen_name string, created_at string, toks array<string>")
+    d = d.withColumn("joined", F.array_join("toks", " "))
+    weights = spark.createDataFrame([("x", 0.5), ("y", 2.0)], "term string, weight double")
+    expected = {"a": 3.0, "b": 0.0, "c": 0.0, "d": 0.0}
+    for n in (0, 1000):
+        for column in ("toks", "joined"):
+            out = topic_doc_weight(d, weights, tokens=column, max_broadcast_rows=n, unique=True)
+            assert {r.screen_name: r.topic_weight for r in out.collect()} == expected
