@@ -4,6 +4,8 @@ import random
 import re
 import string
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,15 @@ def test_clean_tokens_by_brute_force(spark):
     texts = ["", " ", "the and is", "🎉🎉🎉", " cat "] + ["".join(rng.choice(parts) + rng.choice([" ", "\n", "\t ", " ", "　"]) for _ in range(rng.randint(1, 25))) for _ in range(200)]
     rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, text string").select("i", clean_tokens("text").alias("t")).collect()
     assert {r.i: r.t for r in rows} == {i: None if t is None else plain_clean(t) for i, t in enumerate([*texts, None])}
+
+
+def test_blocks_are_coded_in_little_memory():
+    """The numbers of a block's tokens and their bytes' sizes take one to four bytes each on the way, not eight; sums of rows stay exact."""
+    numbers = np.array([0, 127, 128, 1 << 21, 5], np.uint32)
+    data, size = B.packed(numbers)
+    assert size.dtype == np.uint8 and B.unpacked(data)[0].tolist() == numbers.tolist()
+    words, lengths = B._cut(pa.array([" a b", None, "", "c　d\n", " "]))
+    assert words.to_pylist() == ["a", "b", "c", "d"] and lengths.tolist() == [2, 0, 0, 2, 0]
+    words, lengths = B._cut(pa.array([["a", "", None], None, [], ["b"]]))
+    assert words.to_pylist() == ["a", "", None, "b"] and lengths.tolist() == [3, 0, 0, 1]
+    assert B._between(np.full(600, 200, np.uint8), np.array([0, 300, 0, 300, 0])).tolist() == [0, 60000, 0, 60000, 0]
