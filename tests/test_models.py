@@ -63,3 +63,20 @@ def test_confusion_and_report(spark):
     assert rep["1"]["precision"] == pytest.approx(0.5) and rep["1"]["recall"] == pytest.approx(1.0)
     assert rep["2"]["precision"] == 0.0 and rep["2"]["f1"] == 0.0
     assert rep["accuracy"]["f1"] == pytest.approx(0.6)
+
+
+def test_reports_do_not_carry_the_network(spark):
+    """The report reads counted labels: the network's layers, which grow in filters pushed into them, are not in its plan."""
+    from postcred.operators.classify import new_network
+    df = _blobs(spark).withColumn("label", F.when(F.col("a") > 4, 1).otherwise(0))
+    pred = mlp_predict(new_network(2, 2), df, cols=["a", "b"])
+    plan = classification_report(pred)._jdf.queryExecution().analyzed().toString()
+    assert "_layer" not in plan
+    want = {}
+    for r in pred.collect():
+        want[r["label"], r["predicted"]] = want.get((r["label"], r["predicted"]), 0) + 1
+    got = {(r["actual"], r["predicted"]): r["n"] for r in confusion_matrix(pred).collect()}
+    assert {k: n for k, n in got.items() if n} == want
+    odd = spark.createDataFrame([(None, 1), (1, 1), (1, None), (0, 1)], "label int, predicted int")
+    got = {(r["actual"], r["predicted"]): r["n"] for r in confusion_matrix(odd).collect()}
+    assert len(got) == 9 and {k: n for k, n in got.items() if n} == {(1, 1): 1, (0, 1): 1}
