@@ -2,8 +2,8 @@
 
 W is tiny (r x d, both 5 here) and is the only loop state on the driver.  For a given W, every
 row's coordinates h are the result of a fixed number of multiplicative updates from a constant
-start, computed inside the row with ``aggregate`` - so H is always a pure function of (X, W):
-no per-row state to carry between iterations, no growing lineage, nothing to checkpoint.
+start, computed inside the row (in the fit over Arrow batches, else with ``aggregate``) - so H is always a pure function of
+(X, W): no per-row state to carry between iterations, no growing lineage, nothing to checkpoint.
 One aggregation per outer iteration yields Hᵀ·X, Hᵀ·H and the squared error for the W update.
 """
 
@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,19 +77,55 @@ def nmf_fit(df: DataFrame, cols: Sequence[str] = FEATURES, rank: int = 5, max_it
     return NmfModel([list(map(float, r)) for r in W], scale, inner_steps, cols, it, errors, done)
 
 
+#: Rows whose coordinates are worked on at once.
+WORK_ROWS = 8_192
+
+
+def _row_coords(x: np.ndarray, W: np.ndarray, h0: float, steps: int) -> np.ndarray:
+    """``with_coords`` of the rows of an array, the terms of every sum in the same order."""
+    G = W @ W.T
+    xw = _product(x, W.T)
+    h = np.full((len(x), len(W)), float(h0))
+    for _ in range(steps):
+        h = h * xw / (_product(h, G) + EPS)
+    return h
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` for a small ``b``, without the linear algebra library's threads."""
+    out = np.zeros((len(a), b.shape[1]))
+    for k in range(b.shape[0]):
+        out += a[:, k, None] * b[k]
+    return out
+
+
 def nmf_step(data: DataFrame, cols: Sequence[str], W: np.ndarray, h0: float, inner_steps: int) -> tuple[np.ndarray, float]:
-    """One outer iteration: (next basis, reconstruction error of the given one)."""
+    """One outer iteration: (next basis, reconstruction error of the given one).
+
+    The coordinates are computed over Arrow batches, and every task sends one row of sums.  Rows with a null add nothing.
+    """
     rank, d = W.shape
-    aggs = []
-    for j in range(rank):
-        aggs += [F.sum(F.get("_h", F.lit(j)) * F.col(c)).alias(f"hx{j}_{i}") for i, c in enumerate(cols)]
-        aggs += [F.sum(F.get("_h", F.lit(j)) * F.get("_h", F.lit(k))).alias(f"hh{j}_{k}") for k in range(rank)]
-    recon = [sum((F.get("_h", F.lit(j)) * F.lit(float(W[j, i])) for j in range(rank)), F.lit(0.0)) for i in range(d)]
-    aggs.append(F.sum(sum(((F.col(c) - recon[i]) ** 2 for i, c in enumerate(cols)), F.lit(0.0))).alias("err"))
-    row = with_coords(data, cols, W, h0, inner_steps).agg(*aggs).collect()[0]
-    HX = np.array([[row[f"hx{j}_{i}"] or 0.0 for i in range(d)] for j in range(rank)])
-    HH = np.array([[row[f"hh{j}_{k}"] or 0.0 for k in range(rank)] for j in range(rank)])
-    return W * HX / (HH @ W + EPS), math.sqrt(max(row["err"] or 0.0, 0.0))
+
+    def run(batches):
+        hx, hh, err = np.zeros((rank, d)), np.zeros((rank, rank)), 0.0
+        for b in batches:
+            whole = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
+            whole = whole[np.all([c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns], axis=0)]
+            for lo in range(0, len(whole), WORK_ROWS):
+                x = whole[lo:lo + WORK_ROWS]
+                h = _row_coords(x, W, h0, inner_steps)
+                for j in range(rank):
+                    hx[j] += (h[:, j, None] * x).sum(axis=0)
+                    hh[j] += (h[:, j, None] * h).sum(axis=0)
+                err += float(((x - _product(h, W)) ** 2).sum())
+        v = np.concatenate([hx.ravel(), hh.ravel(), [err]])
+        yield pa.RecordBatch.from_arrays([pa.array([v.tolist()], pa.list_(pa.float64()))], ["v"])
+    parts = data.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).mapInArrow(run, "v array<double>")
+    n = rank * (d + rank) + 1
+    row = parts.agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(n)]).first()
+    v = np.array([row[f"v{i}"] or 0.0 for i in range(n)])
+    HX, HH = v[:rank * d].reshape(rank, d), v[rank * d:-1].reshape(rank, rank)
+    return W * HX / (HH @ W + EPS), math.sqrt(max(v[-1], 0.0))
 
 
 def nmf_apply(df: DataFrame, model: NmfModel, out_cols: Sequence[str] | None = None) -> DataFrame:

@@ -80,3 +80,20 @@ def test_reports_do_not_carry_the_network(spark):
     odd = spark.createDataFrame([(None, 1), (1, 1), (1, None), (0, 1)], "label int, predicted int")
     got = {(r["actual"], r["predicted"]): r["n"] for r in confusion_matrix(odd).collect()}
     assert len(got) == 9 and {k: n for k, n in got.items() if n} == {(1, 1): 1, (0, 1): 1}
+
+
+def test_nmf_step_works_in_batches_and_equals_the_row_expression(spark, monkeypatch):
+    """The fit computes coordinates over batches (not by a lambda per row), also of many ranges; rows with a null add nothing."""
+    import numpy as np
+    from postcred.operators import factorize as FZ
+    rows = [(float(i % 7), float(i * i % 11), 0.5 * (i % 3)) for i in range(50)] + [(None, 1.0, 2.0), (0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    W, cols = np.array([[0.5, 1.0, 0.2], [1.5, 0.1, 0.7]]), ["a", "b", "c"]
+    h = [(np.array([r["a"], r["b"], r["c"]]), np.array(r["_h"])) for r in FZ.with_coords(df.na.drop(), cols, W, 0.6, 9).collect()]
+    hx, hh = sum(np.outer(c, x) for x, c in h), sum(np.outer(c, c) for _, c in h)
+    monkeypatch.setattr(FZ, "with_coords", None)
+    monkeypatch.setattr(FZ, "WORK_ROWS", 4)
+    new, err = FZ.nmf_step(df, cols, W, 0.6, 9)
+    assert new == pytest.approx(W * hx / (hh @ W), rel=1e-9)
+    assert err == pytest.approx(sum(((x - c @ W) ** 2).sum() for x, c in h) ** 0.5, rel=1e-9)
+    assert FZ.nmf_step(df.limit(0), cols, W, 0.6, 9)[1] == 0.0
