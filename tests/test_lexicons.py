@@ -131,3 +131,19 @@ def test_lexicon_bound(spark):
     with pytest.raises(ValueError):
         compile_lexicon(lex, max_entries=3)
     assert phrase_sentiment(frames(spark)[0].limit(0), lex).collect() == []
+
+
+def test_phrases_with_a_lexicon_beyond_the_bound(spark, monkeypatch):
+    """Matched block by block, each block with its own entries only: the same rows, also for repeated posts and entries that begin alike."""
+    from postcred.operators import phrases as PH
+    posts, _ = frames(spark, 3)
+    posts = posts.unionByName(posts.limit(9))
+    more = [("not so good", 7, "word"), ("not so", -4, "word"), ("very so meh", 2, "word"), ("good good good", 1, "word")]
+    lex = spark.createDataFrame(PHRASES + more, "term string, score int, kind string")
+    want = sorted(tuple(r) for r in phrase_sentiment(posts, lex).collect())
+    monkeypatch.setattr(PH, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(PH, "WORK_POSTS", 2)
+    monkeypatch.setattr(PH, "_trie", None)  # no entry reaches the driver
+    got = sorted(tuple(r) for r in phrase_sentiment(posts, lex, max_entries=3).collect())
+    assert got == want and len(got) == 76 and any(r[-1] for r in got)
+    assert phrase_sentiment(posts.limit(0), lex, max_entries=3).collect() == []
