@@ -167,3 +167,17 @@ def test_rows_sent_on_give_the_whole_table_of_plain_chunks(spark):
     for w in lam:
         assert got[w] == pytest.approx(lam[w], rel=1e-6)
     assert model.totals == pytest.approx([sum(v[t] for v in lam.values()) for t in range(k)], rel=1e-6)
+
+
+def test_mixtures_of_the_fit_are_made_from_its_own_bags(spark, monkeypatch):
+    """Several blocks a chunk, more than a word of bits: the same mixtures as of the posts given again, tokens counted once only."""
+    monkeypatch.setattr(TP, "BLOCK_PAIRS", 8)
+    docs = texts(9, 45) + [[], ["rare", "t0w0"]]
+    df = frame(spark, docs, 1)
+    model = TP.fit_topics(df, k=3, chunk_size=30, key=TP.KEY)
+    again = {r.screen_name: list(r.theta) for r in TP.topic_mixtures(model, df).collect()}
+    monkeypatch.setattr(TP, "_bags", None)
+    got = {r.screen_name: list(r.theta) for r in TP.topic_mixtures(model).collect()}
+    assert len(got) == 47 and got == {u: pytest.approx(t, abs=1e-9) for u, t in again.items()}
+    assert sum(r.prob for r in TP.topic_distribution(model).collect()) == pytest.approx(47)
+    assert max(r.block for r in model.seen[1].collect()) >= 64
